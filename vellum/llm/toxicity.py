@@ -80,7 +80,8 @@ class Model:
         return e
 
     def expected(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, dict[int, list[tuple[int, np.ndarray]]]]:
-        """Of each text: expected number of toxic tokens, number of tokens, and marginals of the chains with any evidence.
+        """Of each text: expected number of toxic tokens over that of featureless text as long, number of tokens, and
+        marginals of the chains with any evidence.
 
         A chain none of whose tokens has a feature with a weight has marginals that depend on its length only.
         """
@@ -92,9 +93,7 @@ class Model:
             for words in chains(text or ""):
                 e = np.fromiter(map(self.emission, words), float, len(words))
                 tokens[i] += len(e)
-                if (e == self.bias).all():
-                    total[i] += plain[len(e)]
-                else:
+                if not (e == self.bias).all():
                     owner.append(i)
                     rows.append(e)
                     at.append(start)
@@ -109,7 +108,7 @@ class Model:
             p, _ = marginals(padded, lengths, self.trans)
             for r, n in enumerate(lengths):
                 i = owner[k + r]
-                total[i] += p[r, :n].sum()
+                total[i] += max(0.0, p[r, :n].sum() - plain[n])
                 found.setdefault(i, []).append((at[k + r], p[r, :n]))
         return total, tokens, found
 
@@ -128,32 +127,56 @@ def evidence(total: np.ndarray, tokens: np.ndarray) -> np.ndarray:
     return np.stack([np.ones(len(total)), np.log1p(total), total / np.sqrt(1 + tokens)], axis=1)
 
 
+def ratio(counts: list[Counter], n0: int, n1: int, least_g: float) -> dict[str, float]:
+    """Likelihood ratio statistics of the features that label 1 has over four times as often as label 0."""
+    out = {}
+    for f, k1 in counts[1].items():
+        k0 = counts[0][f]
+        p, p1, p0 = (k0 + k1) / (n0 + n1), k1 / n1, k0 / n0
+        if p1 > 4 * p0:
+            g = 2 * sum(k * np.log(q / p) for k, q in ((k1, p1), (k0, p0)) if k)
+            g += 2 * sum((n - k) * np.log((1 - q) / (1 - p)) for n, k, q in ((n1, k1, p1), (n0, k0, p0)) if q < 1 and p < 1)
+            if g >= least_g:
+                out[f] = g
+    return out
+
+
 def fit(texts: list[str], labels: np.ndarray, least_g: float = 20.0, most: int = 50_000, steps: int = 60, seed: int = 3) -> Model:
     """Learns the field and the calibration from texts and their labels.
 
     Documents are labelled, tokens aren't: a token of a toxic document counts as toxic if one of its features
-    is tied to label 1 with a likelihood ratio statistic of at least least_g. The field then learns the
+    is tied to label 1 with a likelihood ratio statistic of at least least_g, both by the lines that have it and
+    by the surroundings it is seen in. Lines count once however often they are copied, with the smallest label
+    that any copy has. The field then learns the
     weights of those features, a bias and the transitions by gradient ascent on the likelihood of the chains.
     """
-    in_docs = [Counter(), Counter()]
+    lines: dict[str, int] = {}
     for text, y in zip(texts, labels, strict=True):
-        in_docs[y].update({f for w in set(WORD.findall((text or "").lower())) for f in features(w)})
-    n0, n1 = max(1, int((labels == 0).sum())), max(1, int((labels == 1).sum()))
-    strong = {}
-    for f, k1 in in_docs[1].items():
-        k0 = in_docs[0][f]
-        p, p1, p0 = (k0 + k1) / (n0 + n1), k1 / n1, k0 / n0
-        if p1 > 4 * p0:
-            g = 2 * sum(k * np.log(q / p) for k, q in ((k1, p1), (k0, p0)) if k)
-            g += 2 * sum((n - k) * np.log((1 - q) / (1 - p)) for n, k, q in ((n1, k1, p1), (n0, k0, p0)) if q < 1 and p < 1)
-            if g >= least_g:
-                strong[f] = g
+        for line in (text or "").lower().split("\n"):
+            lines[line] = min(lines.get(line, 1), int(y))
+    in_lines = [Counter(), Counter()]
+    for line, y in lines.items():
+        in_lines[y].update({f for w in set(WORD.findall(line)) for f in features(w)})
+    n1 = sum(lines.values())
+    tied = ratio(in_lines, max(1, len(lines) - n1), max(1, n1), least_g)
+    # Edited copies repeat a word in the same surroundings, so candidates are counted again, once for each pair of neighbours.
+    around: list[dict[str, set[int]]] = [{}, {}]
+    tokens = [0, 0]
+    for line, y in lines.items():
+        words = ["", *WORD.findall(line), ""]
+        tokens[y] += len(words) - 2
+        for before, w, after in zip(words, words[1:-1], words[2:], strict=False):
+            for f in features(w):
+                if f in tied:
+                    around[y].setdefault(f, set()).add(hash((before, after)))
+    in_context = [Counter({f: len(x) for f, x in side.items()}) for side in around]
+    strong = ratio(in_context, max(1, tokens[0]), max(1, tokens[1]), least_g)
     names = sorted(strong, key=lambda f: (-strong[f], f))[:most]
     index = {f: i for i, f in enumerate(names)}
     rng = np.random.default_rng(seed)
     seqs: list[tuple[list[list[int]], np.ndarray]] = []
-    for text, y in zip(texts, labels, strict=True):
-        for words in chains(text or ""):
+    for line, y in lines.items():
+        for words in chains(line):
             hits = [[index[f] for f in features(w) if f in index] for w in words]
             if any(hits) or rng.random() < 0.02:
                 seqs.append((hits, np.array([bool(h) and y == 1 for h in hits], float)))
