@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, warc
+from . import chat, decontaminate, warc
 from .ann import nearest
 from .near_dedup import near_duplicates
 from .toxicity import score_toxicity
@@ -28,6 +28,11 @@ def op5_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = decontaminate.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return out.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+
+
 def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     hard = "<|im_end|><|im_start|>assistant ok"
@@ -51,7 +56,8 @@ QUERIES = {
     "op1_warc_round_trip": op1_warc_round_trip,
     "op4_toxicity": op4_toxicity,
     "op5_nearest": op5_nearest,
+    "op6_decontaminate": op6_decontaminate,
     "op7_chat_format": op7_chat_format,
     "op8_near_duplicates": op8_near_duplicates,
 }
-ORACLE_SQL = {"op1_warc_round_trip": warc.ORACLE, "op7_chat_format": chat.ORACLE}
+ORACLE_SQL = {"op1_warc_round_trip": warc.ORACLE, "op6_decontaminate": decontaminate.ORACLE, "op7_chat_format": chat.ORACLE}
