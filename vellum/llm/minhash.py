@@ -148,7 +148,7 @@ def near_links(
     k: int = 0,
     bands: tuple[int, int] = (0, 0),
     least: dict[int, int] | None = None,
-    block: int = 1024,
+    block: int = 512,
 ) -> DataFrame:
     """Verified links (a, b) between the members of buckets (bucket, key): components equal those of all links.
 
@@ -160,7 +160,7 @@ def near_links(
        all pairs. The links found are contracted to components.
     2. A bucket whose members are then all in one component needs nothing more. In the others, members of
        different components are compared in blocks of bounded size, so that a hub that is unlike some
-       members loses no link.
+       members loses no link; each block returns a forest of verified links, never all pairs.
     """
     spark = scratch.spark
     kind = dict(buckets.dtypes)["key"]
@@ -223,37 +223,88 @@ def near_links(
         return links
     todo = placed.join(open_, "bucket").withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
     todo = todo.withColumn("mine", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
-    if sig is not None:
-        todo = todo.join(sig.select("key", "sig"), "key")
     todo = todo.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    todo = todo.select(
-        "bucket", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "key", "root",
-        *(["sig"] if sig is not None else []),
-    )
+    todo = todo.select("bucket", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "key", "root")
     n_bands, n_rows = bands
     with_sig = sig is not None
 
-    def cross(group: pa.Table) -> pa.Table:
+    def candidates(group: pa.Table) -> tuple[list, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Keys, component numbers, and the pairs (x, y) of different components to test, with their agreement."""
         mine = np.asarray(group.column("mine"))
         i, j = group.column("i")[0].as_py(), group.column("j")[0].as_py()
         here = group.column("bucket")[0].as_py()
         keys = group.column("key").to_pylist()
-        _, root = np.unique(np.array(group.column("root").to_pylist(), dtype=object), return_inverse=True)
+        numbers: dict = {}
+        root = np.array([numbers.setdefault(r, len(numbers)) for r in group.column("root").to_pylist()])
         left, right = np.flatnonzero(mine == i), np.flatnonzero(mine == j)
-        out: list[tuple] = []
         s = as_matrix(group.column("sig").to_pylist(), k) if with_sig else None
-        own = band_keys(s, n_bands, n_rows) if s is not None else None
+        own = band_keys(s, n_bands, n_rows) if with_sig else None
+        xs, ys, how = [], [], []
         for x in left:
             y = right[right > x] if i == j else right
             y = y[root[y] != root[x]]
-            if s is not None and len(y):
+            agree = np.zeros(len(y))
+            if with_sig and len(y):
                 same = own[y] == own[x]
                 y = y[same.argmax(axis=1) == int(np.flatnonzero(own[x] == here)[0])]  # a pair counts in the first band it shares
                 y = y[still_likely(np.broadcast_to(s[x], (len(y), k)), s[y], least)]
-            out += [(keys[x], keys[z]) for z in y]
+                agree = (s[y] == s[x]).mean(axis=1)
+            xs.append(np.full(len(y), x))
+            ys.append(y)
+            how.append(agree)
+        none = np.empty(0, int)
+        return keys, root, np.concatenate(xs or [none]), np.concatenate(ys or [none]), np.concatenate(how or [none])
+
+    def involved(group: pa.Table) -> pa.Table:
+        """The members that any candidate pair of this block has."""
+        keys, _, x, y, _ = candidates(group)
+        at = np.union1d(x, y).astype(int)
+        out = {c: pa.array([group.column(c)[0].as_py()] * len(at), pa.int64()) for c in ("bucket", "i", "j")}
+        return pa.table(out | {"key": pa.array([keys[z] for z in at], _type(kind))})
+
+    def forest(group: pa.Table) -> pa.Table:
+        """Verified links, likeliest first; pairs that links have already joined need none. At most one for each member."""
+        keys, root, xs, ys, how = candidates(group)
+        texts = group.column("text").to_pylist()
+        sets: dict[int, np.ndarray] = {}
+        up = list(range(root.max() + 1))
+
+        def find(r: int) -> int:
+            while up[r] != r:
+                up[r] = up[up[r]]
+                r = up[r]
+            return r
+
+        p, q = share
+        out = []
+        for at in np.argsort(-how, kind="stable"):
+            x, y = int(xs[at]), int(ys[at])
+            rx, ry = find(root[x]), find(root[y])
+            if rx == ry:
+                continue
+            for z in (x, y):
+                if z not in sets:
+                    sets[z] = sets_of([texts[z]])[0]
+            small, large = sorted((len(sets[x]), len(sets[y])))
+            if q * small < p * large:
+                continue
+            both = small + large - len(np.union1d(sets[x], sets[y]))
+            if q * both >= p * (small + large - both):
+                up[rx] = ry
+                out.append((keys[x], keys[y]))
         a, b = zip(*out, strict=True) if out else ((), ())
         return pa.table({"a": pa.array(a, _type(kind)), "b": pa.array(b, _type(kind))})
 
-    more = todo.groupBy("bucket", "i", "j").applyInArrow(cross, schema)
-    more = more.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    return scratch.put(links.unionByName(verified(more, "cross")), "links")
+    by = ["bucket", "i", "j"]
+    if with_sig:
+        todo = scratch.put(todo, "todo")
+        some = todo.join(sig.select("key", "sig"), "key")
+        told = scratch.put(some.groupBy(*by).applyInArrow(involved, f"bucket bigint, i bigint, j bigint, key {kind}"), "involved")
+        todo = todo.join(told, [*by, "key"]).join(sig.select("key", "sig"), "key")
+        keys = told.select("key").distinct()
+    else:
+        todo = scratch.put(todo, "todo")
+        keys = todo.select("key").distinct()
+    texts = scratch.put(texts_of(scratch.put(keys, "keys-cross")), "texts-cross")
+    more = todo.join(texts, "key").groupBy(*by).applyInArrow(forest, schema)
+    return scratch.put(links.unionByName(more), "links")
