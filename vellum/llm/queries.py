@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from . import chat, decontaminate, warc
 from .ann import nearest
+from .line_dedup import dedup_lines
 from .near_dedup import near_duplicates
 from .toxicity import score_toxicity
 
@@ -19,6 +20,11 @@ def op1_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_round_trip(_table(spark, sf_dir, "pages"))
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = dedup_lines(_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("text_sha256"), F.length("text").alias("n_chars_left"))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = score_toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
     return scored.select("doc_id", "held_out", "score", "predicted", F.size("spans").alias("n_spans"))
@@ -54,6 +60,7 @@ def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_warc_round_trip": op1_warc_round_trip,
+    "op2_line_dedup": op2_line_dedup,
     "op4_toxicity": op4_toxicity,
     "op5_nearest": op5_nearest,
     "op6_decontaminate": op6_decontaminate,
