@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .graph import components
-from .minhash import band_keys, near_links, shingles, signatures, sliced
+from .minhash import shingles, text_links
 from .shared import Scratch, bitmap_of, may_contain, row_key
 
 #: What is trimmed from the ends of a line.
@@ -35,56 +32,9 @@ def duplicate_lines(
 ) -> DataFrame:
     """The lines to drop: (id, rk, drop: array of line numbers from 0), rk = row_key()."""
     base = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text is not null")
-    k = bands * rows
-
-    def banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A row (bucket, key, hub) for each band of each distinct line that this task sees.
-
-        hub is the first line that this task met in the bucket, null for that line itself: the map-side combine
-        that leaves the shuffle at most one row without hub for each bucket and task (and each refill).
-        """
-        met: dict[int, int] = {}
-        seen: set[int] = set()
-        for x in sliced(batches, "line", 2_000_000):
-            keys, lines = x.column("key").to_pylist(), x.column("line").to_pylist()
-            new = []
-            for i, key in enumerate(keys):
-                if key not in seen:
-                    seen.add(key)
-                    new.append(i)
-            if not new:
-                continue
-            if len(seen) > 1_000_000:
-                seen.clear()
-            if len(met) > 1_000_000:
-                met.clear()
-            found = band_keys(signatures([line_shingles(lines[i], n_chars) for i in new], k), bands, rows)
-            of = np.array([keys[i] for i in new], np.int64)
-            flat = found.ravel().tolist()
-            owner = np.repeat(of, bands)
-            hub = [met.setdefault(b, key) for b, key in zip(flat, owner.tolist(), strict=True)]
-            hub = np.array(hub, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(found.ravel()), pa.array(owner), pa.array(hub, mask=hub == owner)], ["bucket", "key", "hub"])
-
-    each = base.select(F.explode(_lines(F.col("text"))).alias("line")).select(_trimmed(F.col("line")).alias("line"))
-    each = each.where(F.length("line") >= min_chars).select(F.xxhash64("line").alias("key"), "line")
-    rows_ = each.mapInArrow(banded, "bucket bigint, key bigint, hub bigint")
-    # Lines that met their hub already are dealt out by themselves: no bucket is large after the exchange.
-    salt = F.when(F.col("hub").isNull(), F.lit(0)).otherwise(F.col("key"))
-    w = Window.partitionBy("bucket", "salt")
-    met = rows_.withColumn("salt", salt).withColumn("lo", F.min("key").over(w)).withColumn("hi", F.max("key").over(w))
-    joined = met.where("hub is not null or lo <> hi").select("bucket", "key", F.coalesce("hub", "lo").alias("hub"))
-    joined = scratch.put(joined, "met")
-    buckets = joined.select("bucket", "key").unionByName(joined.select("bucket", F.col("hub").alias("key"))).distinct()
-
-    def texts_of(keys: DataFrame) -> DataFrame:
-        some = may_contain(each, F.col("key"), True, bitmap_of(keys, "key")).where("bm_hit").select("key", F.col("line").alias("text"))
-        return some.join(keys, "key", "left_semi").dropDuplicates(["key"])
-
-    def sets_of(lines: list[str]) -> list[np.ndarray]:
-        return [np.unique(line_shingles(x, n_chars)) for x in lines]
-
-    links = near_links(scratch.put(buckets, "buckets"), texts_of, sets_of, share, scratch)
+    each = base.select(F.explode(_lines(F.col("text"))).alias("line")).select(_trimmed(F.col("line")).alias("text"))
+    each = each.where(F.length("text") >= min_chars).select(F.xxhash64("text").alias("key"), "text")
+    links = text_links(each, lambda line: line_shingles(line, n_chars), share, bands, rows, scratch)
     roots = components(links, scratch)
     place = base.withColumn("rk", row_key("id", "text")).select("id", "rk", F.posexplode(_lines(F.col("text"))).alias("no", "line"))
     place = place.withColumn("line", _trimmed(F.col("line"))).where(F.length("line") >= min_chars)

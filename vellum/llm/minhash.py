@@ -10,11 +10,11 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .graph import components
-from .shared import Scratch
+from .shared import Scratch, bitmap_of, may_contain
 
 U64 = np.uint64
 
@@ -308,3 +308,51 @@ def near_links(
     texts = scratch.put(texts_of(scratch.put(keys, "keys-cross")), "texts-cross")
     more = todo.join(texts, "key").groupBy(*by).applyInArrow(forest, schema)
     return scratch.put(links.unionByName(more), "links")
+
+
+def text_links(each: DataFrame, shingle: Callable[[str], np.ndarray], share: tuple[int, int], bands: int, rows: int, scratch: Scratch) -> DataFrame:
+    """Verified links (a, b) between the keys of each (key: 64-bit hash of text, text), a row for each occurrence.
+
+    For many short texts: signatures are not kept, only their bands, and those of one occurrence in each task.
+    """
+    k = bands * rows
+
+    def banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A row (bucket, key, hub) for each band of each distinct text that this task sees.
+
+        hub is the first text that this task met in the bucket, null for that text itself: the map-side combine
+        that leaves the shuffle at most one row without hub for each bucket and task (and each refill).
+        """
+        met: dict[int, int] = {}
+        seen: set[int] = set()
+        for x in sliced(batches, "text", 2_000_000):
+            keys, texts = x.column("key").to_pylist(), x.column("text").to_pylist()
+            new = []
+            for i, key in enumerate(keys):
+                if key not in seen:
+                    seen.add(key)
+                    new.append(i)
+            if not new:
+                continue
+            if len(seen) > 1_000_000:
+                seen.clear()
+            if len(met) > 1_000_000:
+                met.clear()
+            found = band_keys(signatures([shingle(texts[i]) for i in new], k), bands, rows)
+            owner = np.repeat(np.array([keys[i] for i in new], np.int64), bands)
+            hub = np.array([met.setdefault(b, key) for b, key in zip(found.ravel().tolist(), owner.tolist(), strict=True)], np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(found.ravel()), pa.array(owner), pa.array(hub, mask=hub == owner)], ["bucket", "key", "hub"])
+
+    # Texts that met their hub already are dealt out by themselves: no bucket is large after the exchange.
+    rows_ = each.mapInArrow(banded, "bucket bigint, key bigint, hub bigint").withColumn("salt", F.when(F.col("hub").isNull(), F.lit(0)).otherwise(F.col("key")))
+    w = Window.partitionBy("bucket", "salt")
+    met = rows_.withColumn("lo", F.min("key").over(w)).withColumn("hi", F.max("key").over(w))
+    joined = met.where("hub is not null or lo <> hi").select("bucket", "key", F.coalesce("hub", "lo").alias("hub"))
+    joined = scratch.put(joined, "met")
+    buckets = joined.select("bucket", "key").unionByName(joined.select("bucket", F.col("hub").alias("key"))).distinct()
+
+    def texts_of(keys: DataFrame) -> DataFrame:
+        some = may_contain(each, F.col("key"), True, bitmap_of(keys, "key")).where("bm_hit").select("key", "text")
+        return some.join(keys, "key", "left_semi").dropDuplicates(["key"])
+
+    return near_links(scratch.put(buckets, "buckets"), texts_of, lambda texts: [np.unique(shingle(t)) for t in texts], share, scratch)

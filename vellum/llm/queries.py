@@ -9,6 +9,7 @@ from . import chat, decontaminate, warc
 from .ann import nearest
 from .line_dedup import dedup_lines
 from .near_dedup import near_duplicates
+from .passage_dedup import repeated_passages
 from .toxicity import score_toxicity
 
 
@@ -25,6 +26,10 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("text_sha256"), F.length("text").alias("n_chars_left"))
 
 
+def op3_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages(_table(spark, sf_dir, "documents"))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = score_toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
     return scored.select("doc_id", "held_out", "score", "predicted", F.size("spans").alias("n_spans"))
@@ -61,6 +66,7 @@ def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_warc_round_trip": op1_warc_round_trip,
     "op2_line_dedup": op2_line_dedup,
+    "op3_repeated_passages": op3_repeated_passages,
     "op4_toxicity": op4_toxicity,
     "op5_nearest": op5_nearest,
     "op6_decontaminate": op6_decontaminate,
