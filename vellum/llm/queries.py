@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from . import chat, decontaminate, warc
 from .ann import nearest
 from .line_dedup import dedup_lines
+from .mixing import label_domains, mix
 from .near_dedup import near_duplicates
 from .passage_dedup import repeated_passages
+from .token_counts import recount
 from .toxicity import score_toxicity
 
 
@@ -63,6 +65,25 @@ def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), n_words=3, share=(85, 100))
 
 
+#: Target shares of the domains, and of the corpus' tokens the part to draw.
+TARGETS, TOKENS = {"good": 0.85, "low": 0.10, "toxic": 0.05}, 0.5
+
+
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(_table(spark, sf_dir, "documents"), label_domains(_table(spark, sf_dir, "labels")), TARGETS, TOKENS)
+
+
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text gets two edits: twelve characters in its middle are replaced, and a word is put at its end."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    middle = F.floor(F.length("text") / 2)
+    edits = F.array(
+        F.struct(middle.alias("start"), (middle + 12).alias("end"), F.lit(" an edit\n").alias("insert")),
+        F.struct(F.lit(2**31).cast("bigint").alias("start"), F.lit(2**31).cast("bigint").alias("end"), F.lit(" more").alias("insert")),
+    )
+    return recount(docs.withColumn("edits", edits), "edits").drop("text_after")
+
+
 QUERIES = {
     "op1_warc_round_trip": op1_warc_round_trip,
     "op2_line_dedup": op2_line_dedup,
@@ -72,5 +93,7 @@ QUERIES = {
     "op6_decontaminate": op6_decontaminate,
     "op7_chat_format": op7_chat_format,
     "op8_near_duplicates": op8_near_duplicates,
+    "op9_mixing": op9_mixing,
+    "op10_token_counts": op10_token_counts,
 }
 ORACLE_SQL = {"op1_warc_round_trip": warc.ORACLE, "op6_decontaminate": decontaminate.ORACLE, "op7_chat_format": chat.ORACLE}
