@@ -10,7 +10,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import Scratch
+from .shared import Scratch, row_key
 
 #: The letters folded, and what separates words.
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -27,7 +27,7 @@ def words(text: Column) -> Column:
 
 @dataclass
 class Index:
-    """postings (rid, pos from 1, tid) of the terms that any phrase has, heads (rid, id, n_words), and their lengths by term."""
+    """postings (rid, pos from 1, tid) of the terms that any phrase has, heads (rid, id, row_key, n_words), and their lengths by term."""
 
     postings: DataFrame
     heads: DataFrame
@@ -52,13 +52,13 @@ def build_index(docs: DataFrame, id_col: str, text_col: str, windows: DataFrame,
     """
     terms = windows.select(F.explode("win").alias("term")).distinct().unionByName(docs.sparkSession.range(1).select(F.lit("").alias("term")))
     vocabulary = scratch.put(terms.coalesce(1).select("term", F.monotonically_increasing_id().cast("int").alias("tid")), "vocabulary")
-    rows = docs.select(F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("rid"), words(F.col(text_col)).alias("w"))
-    tokens = rows.select("id", "rid", F.size("w").cast("bigint").alias("n_words"), F.posexplode(F.concat(F.array(F.lit("")), F.col("w"))).alias("pos", "term"))
-    found = tokens.join(vocabulary, "term").select("rid", "pos", "tid", F.when(F.col("pos") == 0, F.col("id")).alias("id"), F.when(F.col("pos") == 0, F.col("n_words")).alias("n_words"))
+    rows = docs.select(F.col(id_col).alias("id"), row_key(id_col, text_col).alias("rk"), F.monotonically_increasing_id().alias("rid"), words(F.col(text_col)).alias("w"))
+    tokens = rows.select("id", "rk", "rid", F.size("w").cast("bigint").alias("n_words"), F.posexplode(F.concat(F.array(F.lit("")), F.col("w"))).alias("pos", "term"))
+    found = tokens.join(vocabulary, "term").select("rid", "pos", "tid", F.when(F.col("pos") == 0, F.col("id")).alias("id"), F.when(F.col("pos") == 0, F.col("rk")).alias("row_key"), F.when(F.col("pos") == 0, F.col("n_words")).alias("n_words"))
     all_ = scratch.put(found, "postings")
     postings = all_.where("pos > 0").select("rid", "pos", "tid")
     lengths = scratch.put(postings.groupBy("tid").agg(F.count("*").alias("df")), "lengths")
-    return Index(postings, all_.where("pos = 0").select("rid", "id", "n_words"), lengths, vocabulary, scratch)
+    return Index(postings, all_.where("pos = 0").select("rid", "id", "row_key", "n_words"), lengths, vocabulary, scratch)
 
 
 def rarest_first(index: Index, windows: DataFrame) -> DataFrame:
@@ -122,7 +122,7 @@ def proximity_matches(index: Index, windows: DataFrame, slop: int) -> DataFrame:
 def contamination(
     docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", n: int = 8, least_items: int = 2
 ) -> DataFrame:
-    """One row for each row of docs: id, n_words, n_hit, n_items, items (sorted strings), contaminated.
+    """One row for each row of docs: id, n_words, n_hit, n_items, items (sorted strings), contaminated, row_key.
 
     n_hit counts the words inside any occurrence of a window of n words of an item; n_items the items with an
     occurring window; contaminated means n_items >= least_items. Null or wordless texts have no words; null
@@ -140,7 +140,7 @@ def contamination(
     listed = F.coalesce("items", F.array().cast("array<string>"))
     return out.select(
         F.col("id").alias(id_col), "n_words", F.coalesce("n_hit", F.lit(0)).cast("bigint").alias("n_hit"), F.size(listed).cast("bigint").alias("n_items"),
-        listed.alias("items"), (F.size(listed) >= least_items).alias("contaminated"),
+        listed.alias("items"), (F.size(listed) >= least_items).alias("contaminated"), "row_key",
     )
 
 

@@ -31,7 +31,7 @@ def near_duplicates(
     miss: float = 1e-9,
     batch: int = 25,
 ) -> DataFrame:
-    """One row for each row of docs: id, n_shingles, component_id (smallest linked id, its own included), kept.
+    """One row for each row of docs: id, n_shingles, component_id (smallest linked id, its own included), kept, row_key.
 
     Documents are linked when share[1] * |intersection| >= share[0] * |union| of their distinct n-word
     shingles. Texts with equal sets are one class; classes are banded, candidates are compared signature
@@ -102,8 +102,9 @@ def near_duplicates(
     first = grouped.where("root is not null").groupBy("root").agg(F.min("id").alias("least_id"))
     ids = grouped.join(first, "root", "left").select(F.col("key").alias("fp"), F.when(F.col("root").isNull(), F.col("id")).otherwise(F.col("least_id")).alias("cid"))
     ids = scratch.put(ids, "ids")
-    out = rows_.select("id", "n", "fp").join(ids, "fp", "left")
+    out = rows_.select("id", "rk", "n", "fp").join(ids, "fp", "left")
     component = F.when(F.col("fp").isNull(), F.col("id")).otherwise(F.col("cid"))
     return out.select(
-        F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept")
+        F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"),
+        F.col("rk").alias("row_key"),
     )

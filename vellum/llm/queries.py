@@ -62,7 +62,7 @@ def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(_table(spark, sf_dir, "documents"), n_words=3, share=(85, 100))
+    return near_duplicates(_table(spark, sf_dir, "documents"), n_words=3, share=(85, 100)).drop("row_key")
 
 
 #: Target shares of the domains, and of the corpus' tokens the part to draw.

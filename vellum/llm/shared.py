@@ -87,3 +87,14 @@ def may_contain(df: DataFrame, key: Column, is_long: bool, bitmap: DataFrame, bi
 def row_key(id_col: str, text_col: str) -> Column:
     """With the id, tells rows apart; repeated rows (same id and text) are one document."""
     return F.xxhash64(F.col(id_col), F.col(text_col))
+
+
+def without_rows(docs: DataFrame, drop: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """docs, all columns, without the rows whose id and row_key() are in drop (id, row_key). Rows that cannot be
+    meant (by a bitmap of fixed size) are not shuffled."""
+    gone = drop.select(F.col("id").alias("_gone_id"), F.col("row_key").alias("_gone_key"))
+    packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_doc"), F.col(id_col).alias("_id"), row_key(id_col, text_col).alias("_key"))
+    marked = may_contain(packed, F.col("_key"), True, bitmap_of(gone, "_gone_key"))
+    checked = marked.where("bm_hit").join(gone, (F.col("_key") == F.col("_gone_key")) & F.col("_id").eqNullSafe(F.col("_gone_id")), "left_anti")
+    both = marked.where("not bm_hit").select("_doc").unionByName(checked.select("_doc"))
+    return both.select(*(F.col("_doc").getField(c).alias(c) for c in docs.columns))

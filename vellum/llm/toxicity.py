@@ -214,6 +214,9 @@ def fit(texts: list[str], labels: np.ndarray, least_g: float = 20.0, most: int =
             w, bias, trans = new
     model = Model(dict(zip(names, map(float, w), strict=True)), float(bias), trans, np.zeros(3))
     total, tokens, _ = model.expected(list(texts))
+    if not len(labels):
+        model.calibration = np.array([-4.0, 0.0, 0.0])
+        return model
     x, beta = evidence(total, tokens), np.zeros(3)
     for _ in range(40):
         p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
@@ -280,3 +283,21 @@ def score_toxicity(
     out = base.mapInArrow(run, f"id {kind}, score double, n_tokens bigint, spans array<struct<start:bigint,end:bigint,p:double>>")
     held = F.coalesce(F.pmod(F.crc32(F.col("id").cast("string").cast("binary")), F.lit(5)) == 0, F.lit(False))
     return out.select(F.col("id").alias(id_col), held.alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"), "n_tokens", "spans")
+
+
+def without_toxic(
+    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", threshold: float = 0.5, per_label: int = 4000, max_chars: int = 20_000
+) -> DataFrame:
+    """docs, all columns, without the rows that score threshold or more; see score_toxicity()."""
+    texts, y = training_rows(docs, labels, id_col, text_col, label_col, per_label, max_chars)
+    model = fit(texts, y)
+    model.cache = {}
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
+        for x in sliced(batches, text_col):
+            total, tokens, _ = model.expected([t or "" for t in x.column(text_col).to_pylist()])
+            yield x.filter(pa.array(model.score(total, tokens) < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
