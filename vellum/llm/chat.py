@@ -54,9 +54,10 @@ def reply_paths(nodes: DataFrame, scratch: Scratch, best: int | None = None) ->
         open_before = left
         jumps.append(state.where("up is not null").select("key", "up"))
         on = state.select(F.col("key").alias("up"), F.col("up").alias("up2"), F.col("score").alias("s2"), F.col("depth").alias("d2"))
-        state = state.join(on, "up", "left").select(
-            "key", F.col("up2").alias("up"), (F.col("score") + F.coalesce("s2", F.lit(0.0))).alias("score"), (F.col("depth") + F.coalesce("d2", F.lit(0))).alias("depth")
+        further = state.where("up is not null").join(on, "up").select(
+            "key", F.col("up2").alias("up"), (F.col("score") + F.col("s2")).alias("score"), (F.col("depth") + F.col("d2")).alias("depth")
         )
+        state = state.where("up is null").unionByName(further)  # what has reached its root is not joined again
     rooted = state.where("up is null").select("key", "score", "depth")
     parents = base.where("up is not null").select(F.col("up").alias("key")).distinct()
     leaves = base.select("key", "tree", "node").join(parents, "key", "left_anti").join(rooted, "key")
