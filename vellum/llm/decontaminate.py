@@ -10,13 +10,13 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import Scratch, row_key
+from .shared import Scratch, bitmap_of, may_contain, row_key
 
 #: The letters folded, and what separates words.
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: Most rows of the broadcast table of occupied slots, whatever the input.
-SLOTS = 1 << 20
+#: Slots of the broadcast filter of wanted positions: at most a 64th as many rows, whatever the input.
+SLOTS = 1 << 26
 
 
 def words(text: Column) -> Column:
@@ -93,9 +93,9 @@ def phrase_matches(index: Index, windows: DataFrame) -> DataFrame:
     both = scratch.put(both, "two-rarest")
     rest = steps.where("step > 2").select("wid", "off", F.col("tid"))
     asked = scratch.put(both.where("len > 2").join(rest, "wid").select("rid", (F.col("start") + F.col("off")).alias("pos"), "tid", "start", "wid", "len"), "asked")
-    slot = F.pmod(F.xxhash64("rid", "pos"), F.lit(SLOTS))
-    taken = asked.select(slot.alias("slot")).distinct()
-    near = index.postings.withColumn("slot", slot).join(F.broadcast(taken), "slot", "left_semi").drop("slot")
+    spot = F.xxhash64("rid", "pos")
+    taken = bitmap_of(asked.select(spot.alias("spot")), "spot", SLOTS)
+    near = may_contain(index.postings, spot, True, taken, SLOTS).where("bm_hit").drop("bm_hit")
     full = asked.join(near, ["rid", "pos", "tid"]).groupBy("rid", "start", "wid", "len").agg(F.count("*").alias("n")).where("n = len - 2")
     return alone.unionByName(both.where("len = 2")).unionByName(full.select("rid", "start", "wid", "len"))
 

@@ -8,8 +8,6 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_BITMAP_BITS = 32768  # what one bitmap_construct_agg() buffer holds
-
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir, or one of our own where that is unset (tests)."""
@@ -62,26 +60,22 @@ def list_files(spark: SparkSession, path: str) -> list[tuple[str, int]]:
     return sorted((uri, n) for uri, n, name in found if not name.startswith(("_", ".")))
 
 
+def _slot(key: Column, is_long: bool, bits: int) -> Column:
+    return F.pmod(key if is_long else F.xxhash64(key), F.lit(bits))
+
+
 def bitmap_of(keys: DataFrame, key: str, bits: int = 1 << 24) -> DataFrame:
-    """A table of at most bits / 32768 rows of 4 KB: the set bits of hash(key). Its size is bounded whatever the input."""
-    h = F.pmod(F.col(key), F.lit(bits)) if dict(keys.dtypes)[key] == "bigint" else F.pmod(F.xxhash64(key), F.lit(bits))
-    return (
-        keys.select(h.alias("h"))
-        .groupBy(F.floor(F.col("h") / _BITMAP_BITS).alias("bm_no"))
-        .agg(F.bitmap_construct_agg(F.pmod("h", F.lit(_BITMAP_BITS))).alias("bm_bits"))
-    )
+    """The slots that the hashes of key take, 64 to a row: at most bits / 64 rows of 16 bytes, whatever the input."""
+    slot = _slot(F.col(key), dict(keys.dtypes)[key] == "bigint", bits)
+    rows = keys.select(F.shiftright(slot, 6).alias("bm_no"), F.pmod(slot, F.lit(64)).cast("int").alias("at"))
+    return rows.groupBy("bm_no").agg(F.bit_or(F.expr("shiftleft(1L, at)")).alias("bm_bits"))
 
 
 def may_contain(df: DataFrame, key: Column, is_long: bool, bitmap: DataFrame, bits: int = 1 << 24) -> DataFrame:
-    """df with a boolean bm_hit: false where key certainly isn't among those of bitmap_of()."""
-    h = F.pmod(key if is_long else F.xxhash64(key), F.lit(bits))
-    joined = df.withColumn("bm_h", h).join(
-        F.broadcast(bitmap), F.floor(F.col("bm_h") / _BITMAP_BITS) == F.col("bm_no"), "left"
-    )
-    at = F.pmod(F.col("bm_h"), F.lit(_BITMAP_BITS)).cast("int")
-    byte = F.conv(F.hex(F.substring(F.col("bm_bits"), F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    hit = F.coalesce(F.shiftright(byte, 0).bitwiseAND(F.expr("shiftleft(1, cast(pmod(bm_h, 8) as int))")) != 0, F.lit(False))
-    return joined.withColumn("bm_hit", F.col("bm_bits").isNotNull() & hit).drop("bm_h", "bm_no", "bm_bits")
+    """df with a boolean bm_hit: false where key certainly isn't among those of bitmap_of() with as many bits."""
+    joined = df.withColumn("bm_slot", _slot(key, is_long, bits)).withColumn("bm_no", F.shiftright("bm_slot", 6)).join(F.broadcast(bitmap), "bm_no", "left")
+    hit = F.coalesce(F.bit_get("bm_bits", F.pmod("bm_slot", F.lit(64)).cast("int")) == 1, F.lit(False))
+    return joined.withColumn("bm_hit", hit).drop("bm_slot", "bm_no", "bm_bits")
 
 
 def row_key(id_col: str, text_col: str) -> Column:
@@ -95,6 +89,8 @@ def without_rows(docs: DataFrame, drop: DataFrame, id_col: str, text_col: str) -
     gone = drop.select(F.col("id").alias("_gone_id"), F.col("row_key").alias("_gone_key"))
     packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_doc"), F.col(id_col).alias("_id"), row_key(id_col, text_col).alias("_key"))
     marked = may_contain(packed, F.col("_key"), True, bitmap_of(gone, "_gone_key"))
-    checked = marked.where("bm_hit").join(gone, (F.col("_key") == F.col("_gone_key")) & F.col("_id").eqNullSafe(F.col("_gone_id")), "left_anti")
+    gone = gone.distinct().withColumn("_gone", F.lit(True))
+    on = (F.col("_key") == F.col("_gone_key")) & F.col("_id").eqNullSafe(F.col("_gone_id"))
+    checked = marked.where("bm_hit").join(gone, on, "left").where("_gone is null")  # an anti-join would be pushed below the filter
     both = marked.where("not bm_hit").select("_doc").unionByName(checked.select("_doc"))
     return both.select(*(F.col("_doc").getField(c).alias(c) for c in docs.columns))
