@@ -2,23 +2,17 @@
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .graph import components
-from .minhash import shingles, text_links
+from .minhash import char_shingles, text_links
 from .shared import Scratch, bitmap_of, may_contain, row_key
 
 #: What is trimmed from the ends of a line.
 BLANK = " \t\r\x0b\x0c"
 
 
-def line_shingles(line: str, n: int) -> np.ndarray:
-    """Hashes (not distinct) of the runs of n characters; of fewer, one of the whole line."""
-    return shingles(np.frombuffer(line.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64), n)
-
-
 def _lines(text: Column) -> Column:
     return F.split(text, "\n")
 
@@ -34,19 +28,21 @@ def duplicate_lines(
     base = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text is not null")
     each = base.select(F.explode(_lines(F.col("text"))).alias("line")).select(_trimmed(F.col("line")).alias("text"))
     each = each.where(F.length("text") >= min_chars).select(F.xxhash64("text").alias("key"), "text")
-    links = text_links(each, lambda line: line_shingles(line, n_chars), share, bands, rows, scratch)
+    links = text_links(each, lambda lines: char_shingles(lines, n_chars), share, bands, rows, scratch)
     roots = components(links, scratch)
     place = base.withColumn("rk", row_key("id", "text")).select("id", "rk", F.posexplode(_lines(F.col("text"))).alias("no", "line"))
     place = place.withColumn("line", _trimmed(F.col("line"))).where(F.length("line") >= min_chars)
     place = place.select("id", "rk", F.col("no"), F.xxhash64("line").alias("key"))
-    # How often each exact line occurs, and where first; then the same of each component.
+    place = scratch.put(place, "places")
+    # Lines that occur twice or are linked; where each stands is only asked of those.
+    often = place.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    linked = roots.withColumnRenamed("node", "key")
+    some = scratch.put(often.unionByName(linked.select("key")).distinct().join(linked, "key", "left").select("key", F.coalesce("root", "key").alias("root")), "repeated")
+    maybe = may_contain(place, F.col("key"), True, bitmap_of(some, "key")).where("bm_hit").drop("bm_hit").join(some, "key")
+    maybe = scratch.put(maybe.select("id", "rk", "no", "root"), "repeats")
     first = F.min(F.struct(F.col("id").isNull(), F.col("id").alias("id"), "rk", "no"))
-    exact = place.groupBy("key").agg(F.count("*").alias("n"), first.alias("first"))
-    exact = scratch.put(exact.join(roots.withColumnRenamed("node", "key"), "key", "left").where("n > 1 or root is not null").withColumn("root", F.coalesce("root", "key")), "exact")
-    keep = exact.groupBy("root").agg(F.sum("n").alias("n"), F.min("first").alias("first")).where("n > 1").select("root", "first")
-    keep = scratch.put(exact.select("key", "root").join(keep, "root").select("key", "first"), "keep")
-    maybe = may_contain(place, F.col("key"), True, bitmap_of(keep, "key")).where("bm_hit").drop("bm_hit")
-    drop = maybe.join(keep, "key").where(~(F.col("first.id").eqNullSafe(F.col("id")) & (F.col("first.rk") == F.col("rk")) & (F.col("first.no") == F.col("no"))))
+    keep = scratch.put(maybe.groupBy("root").agg(first.alias("first")), "keep")
+    drop = maybe.join(keep, "root").where(~(F.col("first.id").eqNullSafe(F.col("id")) & (F.col("first.rk") == F.col("rk")) & (F.col("first.no") == F.col("no"))))
     return scratch.put(drop.groupBy("id", "rk").agg(F.collect_set("no").alias("drop")), "drop")
 
 

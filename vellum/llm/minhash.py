@@ -60,27 +60,56 @@ def shingles(units: np.ndarray, n: int) -> np.ndarray:
 
 
 def signatures(sets: list[np.ndarray], k: int, seed: int = 1) -> np.ndarray:
-    """A row of k uint32 minima for each non-empty set of 64-bit hashes."""
-    out = np.empty((len(sets), k), np.uint32)
+    """A row of k uint32 minima for each non-empty array of 64-bit hashes."""
+    counts = np.array([len(s) for s in sets])
+    return flat_signatures(np.concatenate(sets) if len(sets) else np.empty(0, U64), counts, k, seed)
+
+
+def flat_signatures(hashes: np.ndarray, counts: np.ndarray, k: int, seed: int = 1) -> np.ndarray:
+    """signatures() of consecutive runs of hashes. Runs of like length are padded to blocks that fit a core's cache."""
+    out = np.empty((len(counts), k), np.uint32)
     by = (multipliers(2 * k, seed) >> U64(32)).astype(np.uint32)
     a, b = by[:k] | np.uint32(1), by[k:]
+    x = (hashes >> U64(32)).astype(np.uint32)
+    starts = np.concatenate([[0], np.cumsum(counts)[:-1]]) if len(counts) else counts
+    order = np.argsort(counts, kind="stable")
     at = 0
-    while at < len(sets):
-        end, size = at, 0
-        while end < len(sets) and (end == at or size + len(sets[end]) <= 1 << 16):
-            size += len(sets[end])
+    while at < len(order):
+        end = at + 1
+        while end < len(order) and counts[order[end]] * (end + 1 - at) <= 1 << 16 and counts[order[end]] <= counts[order[at]] * 5 // 4 + 4:
             end += 1
-        x = (np.concatenate(sets[at:end]) >> U64(32)).astype(np.uint32)
-        starts = np.cumsum([0, *(len(s) for s in sets[at : end - 1])])
-        buffer = np.empty_like(x)
-        for i in range(k):
-            np.multiply(x, a[i], out=buffer)
-            np.add(buffer, b[i], out=buffer)
-            out[at:end, i] = np.minimum.reduceat(buffer, starts)
+        rows = order[at:end]
+        longest = int(counts[rows[-1]])
+        for lo in range(0, longest, 1 << 17):  # very long runs in parts
+            n = min(longest, lo + (1 << 17)) - lo
+            block = x[starts[rows][:, None] + np.minimum(np.arange(lo, lo + n)[None], counts[rows][:, None] - 1)]
+            buffer = np.empty_like(block)
+            for i in range(k):
+                np.multiply(block, a[i], out=buffer)
+                np.add(buffer, b[i], out=buffer)
+                least = buffer.min(axis=1)
+                out[rows, i] = least if lo == 0 else np.minimum(out[rows, i], least)
         at = end
     return out
 
 
+def char_shingles(texts: list[str], n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, counts): the hashes, not distinct, of the runs of n characters of each text, one after the other; of a
+    text of fewer characters, one hash of the whole. All texts are hashed at once."""
+    joined = ("\0" * n).join(texts) + "\0" * n
+    code = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32).astype(U64)
+    sizes = np.array([len(t) for t in texts])
+    counts = np.maximum(sizes - n + 1, 1)
+    begin = np.concatenate([[0], np.cumsum(sizes + n)[:-1]])
+    out = np.zeros(len(code) - n + 1, U64)
+    for j, by in enumerate(multipliers(n)):
+        out += code[j : len(out) + j] * by
+    total = int(counts.sum())
+    at = np.repeat(begin - np.concatenate([[0], np.cumsum(counts)[:-1]]), counts) + np.arange(total)
+    salt = np.repeat(np.minimum(sizes, n).astype(U64), counts)
+    return mix64(out[at] + salt), counts
+
+
 def band_keys(signature: np.ndarray, bands: int, rows: int) -> np.ndarray:
     """int64 keys, one for each band of each signature."""
     x = signature[:, : bands * rows].astype(U64).reshape(len(signature), bands, rows)
@@ -199,7 +228,8 @@ def near_links(
     def verified(pairs: DataFrame, label: str) -> DataFrame:
         pairs = scratch.put(pairs, f"pairs-{label}")
         keys = pairs.select(F.col("a").alias("key")).union(pairs.select(F.col("b").alias("key"))).distinct()
-        texts = scratch.put(texts_of(scratch.put(keys, f"keys-{label}")), f"texts-{label}")
+        texts = texts_of(scratch.put(keys, f"keys-{label}"))
+        texts = texts if sig is None else scratch.put(texts, f"texts-{label}")
         with_a = pairs.join(texts.select(F.col("key").alias("a"), F.col("text").alias("ta")), "a")
         with_b = with_a.join(texts.select(F.col("key").alias("b"), F.col("text").alias("tb")), "b")
         return scratch.put(with_b.select("a", "b", "ta", "tb").mapInArrow(exact, schema), f"links-{label}")
@@ -237,14 +267,14 @@ def near_links(
         numbers: dict = {}
         root = np.array([numbers.setdefault(r, len(numbers)) for r in group.column("root").to_pylist()])
         left, right = np.flatnonzero(mine == i), np.flatnonzero(mine == j)
-        s = as_matrix(group.column("sig").to_pylist(), k) if with_sig else None
-        own = band_keys(s, n_bands, n_rows) if with_sig else None
+        s = as_matrix(group.column("sig").to_pylist(), k) if with_sig else signatures(sets_of(group.column("text").to_pylist()), k)
+        own = band_keys(s, n_bands, n_rows)
         xs, ys, how = [], [], []
         for x in left:
             y = right[right > x] if i == j else right
             y = y[root[y] != root[x]]
             agree = np.zeros(len(y))
-            if with_sig and len(y):
+            if len(y):
                 same = own[y] == own[x]
                 y = y[same.argmax(axis=1) == int(np.flatnonzero(own[x] == here)[0])]  # a pair counts in the first band it shares
                 y = y[still_likely(np.broadcast_to(s[x], (len(y), k)), s[y], least)]
@@ -305,17 +335,21 @@ def near_links(
     else:
         todo = scratch.put(todo, "todo")
         keys = todo.select("key").distinct()
-    texts = scratch.put(texts_of(scratch.put(keys, "keys-cross")), "texts-cross")
+    texts = texts_of(scratch.put(keys, "keys-cross"))
     more = todo.join(texts, "key").groupBy(*by).applyInArrow(forest, schema)
     return scratch.put(links.unionByName(more), "links")
 
 
-def text_links(each: DataFrame, shingle: Callable[[str], np.ndarray], share: tuple[int, int], bands: int, rows: int, scratch: Scratch) -> DataFrame:
+def text_links(
+    each: DataFrame, shingle: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], share: tuple[int, int], bands: int, rows: int, scratch: Scratch, miss: float = 1e-7
+) -> DataFrame:
     """Verified links (a, b) between the keys of each (key: 64-bit hash of text, text), a row for each occurrence.
 
     For many short texts: signatures are not kept, only their bands, and those of one occurrence in each task.
+    shingle gives the hashes of texts one after the other, and how many each has.
     """
     k = bands * rows
+    least = fewest_matches(share[0] / share[1], miss, k, max(8, k // 3))
 
     def banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A row (bucket, key, hub) for each band of each distinct text that this task sees.
@@ -338,7 +372,7 @@ def text_links(each: DataFrame, shingle: Callable[[str], np.ndarray], share: tup
                 seen.clear()
             if len(met) > 1_000_000:
                 met.clear()
-            found = band_keys(signatures([shingle(texts[i]) for i in new], k), bands, rows)
+            found = band_keys(flat_signatures(*shingle([texts[i] for i in new]), k), bands, rows)
             owner = np.repeat(np.array([keys[i] for i in new], np.int64), bands)
             hub = np.array([met.setdefault(b, key) for b, key in zip(found.ravel().tolist(), owner.tolist(), strict=True)], np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(found.ravel()), pa.array(owner), pa.array(hub, mask=hub == owner)], ["bucket", "key", "hub"])
@@ -349,10 +383,15 @@ def text_links(each: DataFrame, shingle: Callable[[str], np.ndarray], share: tup
     met = rows_.withColumn("lo", F.min("key").over(w)).withColumn("hi", F.max("key").over(w))
     joined = met.where("hub is not null or lo <> hi").select("bucket", "key", F.coalesce("hub", "lo").alias("hub"))
     joined = scratch.put(joined, "met")
-    buckets = joined.select("bucket", "key").unionByName(joined.select("bucket", F.col("hub").alias("key"))).distinct()
-
-    def texts_of(keys: DataFrame) -> DataFrame:
-        some = may_contain(each, F.col("key"), True, bitmap_of(keys, "key")).where("bm_hit").select("key", "text")
-        return some.join(keys, "key", "left_semi").dropDuplicates(["key"])
-
-    return near_links(scratch.put(buckets, "buckets"), texts_of, lambda texts: [np.unique(shingle(t)) for t in texts], share, scratch)
+    buckets = scratch.put(joined.select("bucket", "key").unionByName(joined.select("bucket", F.col("hub").alias("key"))).distinct(), "buckets")
+    # One more pass for the texts of all bucket members. Joins after may_contain() are inner: a semi-join would be
+    # pushed below it, and shuffle every text.
+    keys = buckets.select("key").distinct()
+    some = may_contain(each, F.col("key"), True, bitmap_of(keys, "key", 1 << 26), 1 << 26).where("bm_hit").select("key", "text")
+    texts = scratch.put(some.dropDuplicates(["key"]).join(keys, "key"), "texts")
+
+    def sets_of(some: list[str]) -> list[np.ndarray]:
+        hashes, counts = shingle(some)
+        return [np.unique(h) for h in np.split(hashes, np.cumsum(counts)[:-1])]
+
+    return near_links(buckets, lambda keys: texts.join(keys, "key"), sets_of, share, scratch, k=k, bands=(bands, rows), least=least)

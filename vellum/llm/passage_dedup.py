@@ -97,33 +97,36 @@ def repeated_passages(
     placed = scratch.put(base.select("id", "rk", "text").mapInArrow(windows, f"id {id_type}, rk bigint, key bigint, chk int, start int, end int"), "windows")
 
     def spread(units: DataFrame, by: list[str]) -> DataFrame:
-        """Of the units whose component (by) has several ids: the first of each component, and its smallest id."""
-        firsts = units.groupBy(*by).agg(F.min(F.struct("id", "rk", "start")).alias("first"), F.max("id").alias("last")).where("first.id <> last")
-        return scratch.put(firsts.select(*by, "first"), "firsts")
+        """The fate of units (id, rk, start, end) whose component (by) has several ids: the first of it stays.
 
-    def fates(units: DataFrame, firsts: DataFrame, by: list[str]) -> DataFrame:
-        own = (F.col("first.id") == F.col("id")) & (F.col("first.rk") == F.col("rk")) & (F.col("first.start") == F.col("start"))
-        return units.join(firsts, by).select("id", "rk", "start", "end", (~own).alias("removed"), F.col("first.id").alias("component_id"))
+        Counting needs numbers only; where the units stand is asked of the repeated ones alone.
+        """
+        several = units.groupBy(*by).agg(F.min("id").alias("least_id"), F.max("id").alias("last_id")).where("least_id <> last_id")
+        several = scratch.put(several.select(*by, "least_id"), "several")
+        some = may_contain(units, F.col(by[0]), True, bitmap_of(several, by[0], 1 << 26), 1 << 26).where("bm_hit").drop("bm_hit").join(several, by)
+        some = scratch.put(some, "repeats")
+        first = some.where("id = least_id").groupBy(*by).agg(F.min(F.struct("rk", "start")).alias("first"))
+        own = (F.col("id") == F.col("least_id")) & (F.col("first.rk") == F.col("rk")) & (F.col("first.start") == F.col("start"))
+        return some.join(scratch.put(first, "firsts"), by).select("id", "rk", "start", "end", (~own).alias("removed"), F.col("least_id").alias("component_id"))
 
-    firsts = spread(placed, ["key", "chk"])
-    again = may_contain(placed, F.col("key"), True, bitmap_of(firsts, "key")).where("bm_hit").drop("bm_hit")
-    by_window = fates(again, firsts, ["key", "chk"])
+    by_window = spread(placed, ["key", "chk"])
 
     lines = F.split(F.col("text"), "\n")
     para = base.select("id", "rk", F.posexplode(lines).alias("no", "text"))
     long_ = F.size(F.split(F.btrim("text", F.lit(" \t\r\x0b\x0c")), r"[ \t\x0b\x0c\r]+")) >= least_words
     occurrences = para.where(long_).select("id", "rk", "no", F.xxhash64("text").alias("key"), "text")
     cache = WordHashes()
-    links = text_links(
-        occurrences.select("key", "text"), lambda t: shingles(word_hashes(t.encode("utf-8", "surrogatepass").split(), cache), n_words), share, bands, rows, scratch
-    )
+
+    def shingled(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        hashes = [shingles(word_hashes(t.encode("utf-8", "surrogatepass").split(), cache), n_words) for t in texts]
+        return np.concatenate(hashes), np.array([len(h) for h in hashes])
+
+    links = text_links(occurrences.select("key", "text"), shingled, share, bands, rows, scratch)
     roots = components(links, scratch)
     # Where lines begin, only for the texts that hold one of a repeated component.
     spots = occurrences.select("id", "rk", "no", "key").join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
-    spots = scratch.put(spots.select("id", "rk", "no", "root", F.col("no").alias("start")), "spots")
-    line_firsts = spread(spots, ["root"])
-    some = may_contain(spots, F.col("root"), True, bitmap_of(line_firsts, "root")).where("bm_hit").drop("bm_hit")
-    fate = fates(some.withColumn("end", F.col("no")), line_firsts, ["root"])
+    spots = scratch.put(spots.select("id", "rk", "root", F.col("no").alias("start"), F.col("no").alias("end")), "spots")
+    fate = spread(spots, ["root"])
     fate = scratch.put(fate.groupBy("id", "rk").agg(F.collect_set(F.struct(F.col("start").alias("no"), "removed", "component_id")).alias("units")), "lines")
     texts = may_contain(base, F.col("rk"), True, bitmap_of(fate, "rk")).where("bm_hit").select("id", "rk", F.transform(lines, lambda x: F.length(x)).alias("sizes"))
     texts = texts.dropDuplicates(["id", "rk"]).join(fate, ["id", "rk"])
