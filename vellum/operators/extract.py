@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.intervals import overlaps_any, running
-from .markdown import headings, lines_of
+from .markdown import lines_of
 
 #: Fixed values.
 HARD_CAP, PER_LINE, LONGEST_PHRASE = 200, 16, 3
