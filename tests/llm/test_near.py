@@ -5,7 +5,6 @@ from itertools import combinations
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from vellum.llm import minhash
 from vellum.llm.graph import components

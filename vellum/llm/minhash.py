@@ -17,6 +17,8 @@ from .graph import components
 from .shared import Scratch, bitmap_of, may_contain
 
 U64 = np.uint64
+#: A block of no more members than this is compared without signatures, where those would have to be made.
+FEW = 64
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -208,20 +210,27 @@ def near_links(
             ok = still_likely(as_matrix(x.column("sa"), k), as_matrix(x.column("sb"), k), least) if x.num_rows else []
             yield pa.RecordBatch.from_arrays([x.column(c).take(pa.array(ok, pa.int64())) for c in ("a", "b")], ["a", "b"])
 
-    def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def linked(x: np.ndarray, y: np.ndarray) -> bool:
         p, q = share
+        small, large = sorted((len(x), len(y)))
+        if q * small < p * large:
+            return False
+        merged = np.concatenate([x, y])
+        merged.sort()
+        both = int((merged[1:] == merged[:-1]).sum())
+        return q * both >= p * (small + large - both)
+
+    def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last: tuple[str, np.ndarray] = ("", np.empty(0, U64))
-        for x in sliced(batches, "tb"):
+        for x in sliced(batches, "tb", 2_000_000):
+            if not x.num_rows:
+                continue
             keep = []
-            for i, (s, t) in enumerate(zip(x.column("ta").to_pylist(), x.column("tb").to_pylist(), strict=True)):
+            ta = x.column("ta").to_pylist()
+            for i, (s, right) in enumerate(zip(ta, sets_of(x.column("tb").to_pylist()), strict=True)):
                 if s != last[0]:
                     last = (s, sets_of([s])[0])
-                left, right = last[1], sets_of([t])[0]
-                small, large = sorted((len(left), len(right)))
-                if q * small < p * large:
-                    continue
-                both = small + large - len(np.union1d(left, right))
-                if q * both >= p * (small + large - both):
+                if linked(last[1], right):
                     keep.append(i)
             yield pa.RecordBatch.from_arrays([x.column(c).take(pa.array(keep, pa.int64())) for c in ("a", "b")], ["a", "b"])
 
@@ -267,14 +276,16 @@ def near_links(
         numbers: dict = {}
         root = np.array([numbers.setdefault(r, len(numbers)) for r in group.column("root").to_pylist()])
         left, right = np.flatnonzero(mine == i), np.flatnonzero(mine == j)
-        s = as_matrix(group.column("sig").to_pylist(), k) if with_sig else signatures(sets_of(group.column("text").to_pylist()), k)
-        own = band_keys(s, n_bands, n_rows)
+        # Signatures of few texts cost more than they save.
+        signed = with_sig or len(keys) > FEW
+        s = None if not signed else as_matrix(group.column("sig").to_pylist(), k) if with_sig else signatures(sets_of(group.column("text").to_pylist()), k)
+        own = band_keys(s, n_bands, n_rows) if signed else None
         xs, ys, how = [], [], []
         for x in left:
             y = right[right > x] if i == j else right
             y = y[root[y] != root[x]]
             agree = np.zeros(len(y))
-            if len(y):
+            if signed and len(y):
                 same = own[y] == own[x]
                 y = y[same.argmax(axis=1) == int(np.flatnonzero(own[x] == here)[0])]  # a pair counts in the first band it shares
                 y = y[still_likely(np.broadcast_to(s[x], (len(y), k)), s[y], least)]
@@ -296,7 +307,6 @@ def near_links(
         """Verified links, likeliest first; pairs that links have already joined need none. At most one for each member."""
         keys, root, xs, ys, how = candidates(group)
         texts = group.column("text").to_pylist()
-        sets: dict[int, np.ndarray] = {}
         up = list(range(root.max() + 1))
 
         def find(r: int) -> int:
@@ -305,21 +315,13 @@ def near_links(
                 r = up[r]
             return r
 
-        p, q = share
         out = []
+        wanted = np.union1d(xs, ys).astype(int)
+        sets = dict(zip(wanted.tolist(), sets_of([texts[z] for z in wanted]), strict=True)) if len(wanted) else {}
         for at in np.argsort(-how, kind="stable"):
             x, y = int(xs[at]), int(ys[at])
             rx, ry = find(root[x]), find(root[y])
-            if rx == ry:
-                continue
-            for z in (x, y):
-                if z not in sets:
-                    sets[z] = sets_of([texts[z]])[0]
-            small, large = sorted((len(sets[x]), len(sets[y])))
-            if q * small < p * large:
-                continue
-            both = small + large - len(np.union1d(sets[x], sets[y]))
-            if q * both >= p * (small + large - both):
+            if rx != ry and linked(sets[x], sets[y]):
                 up[rx] = ry
                 out.append((keys[x], keys[y]))
         a, b = zip(*out, strict=True) if out else ((), ())
