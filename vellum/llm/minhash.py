@@ -39,7 +39,7 @@ class WordHashes(dict):
     """word -> 64-bit hash, remembered up to a bound."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 500_000:
+        if len(self) >= 200_000:
             self.clear()
         h = self[word] = xxhash.xxh3_64_intdigest(word)
         return h
@@ -150,7 +150,7 @@ def as_matrix(column: pa.Array | list, k: int) -> np.ndarray:
     return np.frombuffer(b"".join(values), np.uint32).reshape(len(values), k)
 
 
-def sliced(batches: Iterator[pa.RecordBatch], column: str, chars: int = 8_000_000) -> Iterator[pa.RecordBatch]:
+def sliced(batches: Iterator[pa.RecordBatch], column: str, chars: int = 4_000_000) -> Iterator[pa.RecordBatch]:
     """The batches, cut so that no piece holds much more than so many bytes of column (a single value may)."""
     for batch in batches:
         col = batch.column(column)
@@ -370,9 +370,9 @@ def text_links(
                     new.append(i)
             if not new:
                 continue
-            if len(seen) > 1_000_000:
+            if len(seen) > 200_000:
                 seen.clear()
-            if len(met) > 1_000_000:
+            if len(met) > 300_000:
                 met.clear()
             found = band_keys(flat_signatures(*shingle([texts[i] for i in new]), k), bands, rows)
             owner = np.repeat(np.array([keys[i] for i in new], np.int64), bands)

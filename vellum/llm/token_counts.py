@@ -32,7 +32,7 @@ class Counter(dict):
         self.pattern = regex.compile(pattern)
 
     def __missing__(self, piece: str) -> int:
-        if len(self) >= 300_000:
+        if len(self) >= 150_000:
             self.clear()
         n = self[piece] = len(self.encode(piece))
         return n

@@ -74,7 +74,7 @@ class Model:
     def emission(self, word: str) -> float:
         e = self.cache.get(word)
         if e is None:
-            if len(self.cache) >= 500_000:
+            if len(self.cache) >= 150_000:
                 self.cache.clear()
             e = self.cache[word] = self.bias + sum(self.weights.get(f, 0.0) for f in features(word))
         return e
@@ -279,6 +279,7 @@ def score_toxicity(
             yield pa.RecordBatch.from_arrays(
                 [x.column("id"), pa.array(model.score(total, tokens)), pa.array(tokens.astype(np.int64)), pa.array(marks, spans_type)], ["id", "score", "n_tokens", "spans"]
             )
+        model.cache.clear()  # the worker that holds the broadcast goes on to other work
 
     out = base.mapInArrow(run, f"id {kind}, score double, n_tokens bigint, spans array<struct<start:bigint,end:bigint,p:double>>")
     held = F.coalesce(F.pmod(F.crc32(F.col("id").cast("string").cast("binary")), F.lit(5)) == 0, F.lit(False))
@@ -299,5 +300,6 @@ def without_toxic(
         for x in sliced(batches, text_col):
             total, tokens, _ = model.expected([t or "" for t in x.column(text_col).to_pylist()])
             yield x.filter(pa.array(model.score(total, tokens) < threshold))
+        model.cache.clear()
 
     return docs.mapInArrow(run, docs.schema)
