@@ -119,6 +119,22 @@ def test_passages_inside_other_text(spark):
         assert part in (passage if r["doc_id"] < 10 else texts[r["doc_id"]]) and len(part.split()) >= 17
 
 
+def test_short_lines_are_paragraphs(spark):
+    rng = random.Random(21)
+    six, twelve, four = (" ".join(words(rng, n)) for n in (6, 12, 4))
+    fuzzy = words(rng, 18)
+    rows = [(i, "\n".join([f"head {i}", six, f"own {i} " + " ".join(words(rng, 9)), twelve, four, "", " \t"])) for i in range(3)]
+    rows += [(10, " ".join(fuzzy)), (11, " ".join([*fuzzy[:17], "edit"]))]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    texts = dict(rows)
+    got = {(r["doc_id"], texts[r["doc_id"]][r["start"] : r["end"]], r["removed"]) for r in repeated_passages(df).collect()}
+    want = {(i, line, i > 0) for i in range(3) for line in (six, twelve)} | {(10, texts[10], False), (11, texts[11], True)}
+    assert got == want
+    assert repeated_passages(df, least_words=20).count() == 0
+    every = {(r["doc_id"], texts[r["doc_id"]][r["start"] : r["end"]]) for r in repeated_passages(df, least_words=1).collect()}
+    assert all((i, twelve + "\n" + four) in every for i in range(3))
+
+
 def test_components_of_a_long_chain_and_a_star(spark):
     edges = [(i, i + 1) for i in range(100)] + [(1000, 1000 + i) for i in range(1, 300)] + [(5, 5), (7, 6)]
     got = components(spark.createDataFrame(edges, "a bigint, b bigint"), Scratch(spark, "t")).collect()

@@ -50,12 +50,13 @@ def repeated_passages(
     share: tuple[int, int] = (80, 100),
     bands: int = 10,
     rows: int = 4,
-    least_words: int = 20,
+    least_words: int | None = None,
     radius: int = 6,
 ) -> DataFrame:
     """Passages that stand in several documents: one row (id, start, end, removed, component_id, n_units) for each span.
 
-    Two kinds of units are compared. A paragraph is a line of at least least_words words; paragraphs are banded
+    Two kinds of units are compared. A paragraph is a line of at least n_words words, the length of a shingle, or of
+    least_words where the caller asks for another floor (1: every line with a word); paragraphs are banded
     by MinHash of their n_words-word shingles, and linked when share[1] * |intersection| >= share[0] * |union|
     exactly. A window is a run of 2 * radius + n_words words around an anchor chosen by its content, so that a
     passage is found wherever it is embedded; windows are linked when equal (96 hashed bits). Components with
@@ -113,7 +114,9 @@ def repeated_passages(
 
     lines = F.split(F.col("text"), "\n")
     para = base.select("id", "rk", F.posexplode(lines).alias("no", "text"))
-    long_ = F.size(F.split(F.btrim("text", F.lit(" \t\r\x0b\x0c")), r"[ \t\x0b\x0c\r]+")) >= least_words
+    trimmed = F.btrim("text", F.lit(" \t\r\x0b\x0c"))
+    floor = n_words if least_words is None else least_words
+    long_ = (trimmed != "") & (F.size(F.split(trimmed, r"[ \t\x0b\x0c\r]+")) >= floor)
     occurrences = para.where(long_).select("id", "rk", "no", F.xxhash64("text").alias("key"), "text")
     cache = WordHashes()
 
