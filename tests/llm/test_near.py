@@ -119,6 +119,27 @@ def test_passages_inside_other_text(spark):
         assert part in (passage if r["doc_id"] < 10 else texts[r["doc_id"]]) and len(part.split()) >= 17
 
 
+def test_passages_are_covered_whole(spark):
+    rng = random.Random(33)
+    rows, planted = [], {}
+    for j in range(25):
+        passage = words(rng, 60) if j < 20 else (words(rng, 1 + j % 5) * 60)[:60]
+        for i in (2 * j, 2 * j + 1):
+            before = [f"a{i}x{k}" for k in range(20 + j)]
+            rows.append((i, " ".join([*before, *passage, *(f"b{i}x{k}" for k in range(15 + j))])))
+            at = len(" ".join(before)) + 1
+            planted[i] = (at, at + len(" ".join(passage)), i % 2 == 1)
+    # 100 and 101 share 60 words, of which those from the 20th to the 57th stand in 99 as well.
+    part = [f"p{k}" for k in range(60)]
+    rows += [(99, " ".join([*(f"c{k}" for k in range(20)), *part[20:58], *(f"d{k}" for k in range(20))]))]
+    rows += [(i, " ".join([*(f"e{i}x{k}" for k in range(20)), *part, *(f"f{i}x{k}" for k in range(20))])) for i in (100, 101)]
+    got = {}
+    for r in repeated_passages(spark.createDataFrame(rows, "doc_id bigint, text string")).collect():
+        got.setdefault(r["doc_id"], []).append((r["start"], r["end"], r["removed"]))
+    assert {i: got[i] for i in planted} == {i: [span] for i, span in planted.items()}
+    assert [dict(rows)[101][a:b] for a, b, removed in got[101]] == [" ".join(part)]
+
+
 def test_short_lines_are_paragraphs(spark):
     rng = random.Random(21)
     six, twelve, four = (" ".join(words(rng, n)) for n in (6, 12, 4))

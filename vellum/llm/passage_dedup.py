@@ -27,21 +27,83 @@ def word_table(code: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def anchors(words: np.ndarray, n: int = 5, radius: int = 6) -> np.ndarray:
-    """Positions p whose n-word shingle is the least of those within radius on either side.
+    """Positions p whose n-word shingle is the least of those within radius on either side, the first of equal ones.
 
-    Whether p is one depends on the words p - radius to p + radius + n - 1 only, which are the window of p, so
-    equal windows are chosen alike wherever they stand.
+    Where the whole window of p is periodic, equal ones are all chosen: the first may lie outside it. Whether p is one
+    depends on the words p - radius to p + radius + n - 1 only, which are the window of p, so equal windows are
+    chosen alike wherever they stand.
     """
     s = shingles(words, n) if len(words) >= n else np.empty(0, U64)
     if len(s) < 2 * radius + 1:
         return np.empty(0, int)
     core = s[radius : len(s) - radius]
-    ok = np.ones(len(core), bool)
+    ok, tied = np.ones(len(core), bool), np.zeros(len(core), bool)
     for d in range(1, radius + 1):
-        ok &= (core < s[radius - d : len(s) - radius - d]) & (core <= s[radius + d : len(s) - radius + d])
+        left = s[radius - d : len(s) - radius - d]
+        ok &= (core <= left) & (core <= s[radius + d : len(s) - radius + d])
+        tied |= core == left
+    tied = np.flatnonzero(ok & tied)
+    ok[tied] = False
+    for d in range(1, radius + 1) if len(tied) else ():
+        same = np.concatenate([[0], np.cumsum(s[d:] == s[:-d])])
+        ok[tied[same[tied + 2 * radius + 1 - d] - same[tied] == 2 * radius + 1 - d]] = True
     return np.flatnonzero(ok) + radius
 
 
+def chains(key: np.ndarray, chk: np.ndarray, p: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(first, last): indices into the windows p of a text, of the ends of each chain of equal windows that overlap one
+    another, as in periodic text. A window that overlaps no equal one is a chain by itself."""
+    order = np.lexsort((p, chk, key))
+    k, c, q = key[order], chk[order], p[order]
+    new = np.concatenate([[True], (k[1:] != k[:-1]) | (c[1:] != c[:-1]) | (q[1:] - q[:-1] >= width)])
+    first, last = order[new], order[np.append(new[1:], True)]
+    by = np.argsort(first)
+    return first[by], last[by]
+
+
+def reach(units: list[tuple[int, int]], total: int, width: int, told: dict[int, dict]) -> Iterator[tuple[dict, int, int, int, int]]:
+    """(unit, first, last, lo, hi) for the repeated units of a text: the words [lo, first) and [last + width, hi) may be compared.
+
+    units are the chains of windows of a text of so many words, by position; told the repeated ones. Words up to the far
+    end of the next unit do if that one is not repeated, as it cannot be part of the same run. If it stands at the same
+    distance from the same kept text it carries the run on by itself, from its beginning; in the kept text, units
+    that are kept do, to their end. Otherwise the one after it is asked.
+    """
+    at = [told.get(first) for first, _ in units]
+
+    def carries(w: dict, other: dict, chain: bool) -> bool:
+        if chain or other["kept"] != w["kept"]:
+            return False
+        return other["away"] == w["away"] if w["removed"] else not other["removed"]
+
+    for i, w in enumerate(at):
+        if w is None:
+            continue
+        first, last = units[i]
+        lo, hi = 0, total
+        for j in range(i - 1, -1, -1):
+            if at[j] is None or carries(w, at[j], units[j][0] != units[j][1]):
+                lo = units[j][1] + width if at[j] is not None and w["removed"] else units[j][0]
+                break
+        for j in range(i + 1, len(at)):
+            if at[j] is None or carries(w, at[j], units[j][0] != units[j][1]):
+                hi = units[j][0] if at[j] is not None and w["removed"] else units[j][1] + width
+                break
+        lo, hi = min(lo, first), max(hi, last + width)
+        if lo < first or hi > last + width or not w["removed"]:
+            yield w, first, last, lo, hi
+
+
+def common(left: list[bytes], right: list[bytes]) -> np.ndarray:
+    """For each pair of packed 64-bit hashes, how many agree from the beginning."""
+    sizes = np.array([min(len(a), len(b)) // 8 for a, b in zip(left, right, strict=True)], int)
+    a = np.frombuffer(b"".join(x[: 8 * n] for x, n in zip(left, sizes.tolist(), strict=True)), U64)
+    b = np.frombuffer(b"".join(x[: 8 * n] for x, n in zip(right, sizes.tolist(), strict=True)), U64)
+    begin = np.cumsum(sizes) - sizes
+    differ = np.append(np.flatnonzero(a != b), len(a))
+    return np.minimum(differ[np.searchsorted(differ, begin)] - begin, sizes)
+
+
 def repeated_passages(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -60,9 +122,12 @@ def repeated_passages(
     by MinHash of their n_words-word shingles, and linked when share[1] * |intersection| >= share[0] * |union|
     exactly. A window is a run of 2 * radius + n_words words around an anchor chosen by its content, so that a
     passage is found wherever it is embedded; windows are linked when equal (96 hashed bits). Components with
-    units in at least two ids count. Their unit with the smallest id, first in its text, is kept, the others are
-    removed; touching spans of the same fate are one row, whose component_id is the smallest id of its units'
-    components. start and end are code points, half-open.
+    units in at least two ids count. Their unit with the smallest id, first in its text, is kept, the
+    others are removed; equal windows that overlap, in periodic text, are one unit. Each removed window is extended to the
+    whole run of words (64 hashed bits) that its text shares with the kept one around it, and the kept one by as much; so
+    a kept span may overlap a removed one, of which a smaller id has the kept copy. Touching spans of the same
+    fate are one row, whose component_id is the smallest id of its units' components; n_units counts its windows
+    and paragraphs. start and end are code points, half-open.
 
     Null and short texts have no units, rows with null ids take no part. Rows with equal ids and texts are one
     document. Extra columns are not read; an empty table gives no rows.
@@ -74,31 +139,34 @@ def repeated_passages(
     base = base.withColumn("rk", row_key("id", "text"))
     width = 2 * radius + n_words
 
+    def keyed(h: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        out = np.zeros((2, len(p)), U64)
+        for j in range(width):
+            out += h[p + j] * multipliers(2 * width, 31).reshape(2, width)[:, j : j + 1]
+        return mix64(out[0]).view(np.int64), (mix64(out[1]) >> U64(33)).astype(np.int32)
+
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in sliced(batches, "text"):
-            of, keys, checks, starts, ends = [], [], [], [], []
+            of, found = [], []
             for i, text in enumerate(x.column("text").to_pylist()):
                 start, end, h = word_table(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32))
                 p = anchors(h, n_words, radius) - radius
                 if len(p):
-                    out = np.zeros((2, len(p)), U64)
-                    for j in range(width):
-                        out += h[p + j] * multipliers(2 * width, 31).reshape(2, width)[:, j : j + 1]
-                    of.append(np.full(len(p), i))
-                    keys.append(mix64(out[0]).view(np.int64))
-                    checks.append((mix64(out[1]) >> U64(33)).astype(np.int32))
-                    starts.append(start[p].astype(np.int32))
-                    ends.append(end[p + width - 1].astype(np.int32))
+                    key, chk = keyed(h, p)
+                    first, last = chains(key, chk, p, width)
+                    of.append(np.full(len(first), i))
+                    found.append((key[first], chk[first], start[p[first]].astype(np.int32), end[p[last] + width - 1].astype(np.int32), p[first].astype(np.int32)))
             if of:
                 at = pa.array(np.concatenate(of))
                 yield pa.RecordBatch.from_arrays(
-                    [x.column("id").take(at), x.column("rk").take(at), *(pa.array(np.concatenate(c)) for c in (keys, checks, starts, ends))], ["id", "rk", "key", "chk", "start", "end"]
+                    [x.column("id").take(at), x.column("rk").take(at), *(pa.array(np.concatenate(c)) for c in zip(*found, strict=True))], ["id", "rk", "key", "chk", "start", "end", "pos"]
                 )
 
-    placed = scratch.put(base.select("id", "rk", "text").mapInArrow(windows, f"id {id_type}, rk bigint, key bigint, chk int, start int, end int"), "windows")
+    kinds = f"id {id_type}, rk bigint, key bigint, chk int, start int, end int, pos int"
+    placed = scratch.put(base.select("id", "rk", "text").mapInArrow(windows, kinds), "windows")
 
     def spread(units: DataFrame, by: list[str]) -> DataFrame:
-        """The fate of units (id, rk, start, end) whose component (by) has several ids: the first of it stays.
+        """The fate of units (id, rk, pos, ...) whose component (by) has several ids: the first of it stays.
 
         Counting needs numbers only; where the units stand is asked of the repeated ones alone.
         """
@@ -106,11 +174,59 @@ def repeated_passages(
         several = scratch.put(several.select(*by, "least_id"), "several")
         some = may_contain(units, F.col(by[0]), True, bitmap_of(several, by[0], 1 << 26), 1 << 26).where("bm_hit").drop("bm_hit").join(several, by)
         some = scratch.put(some, "repeats")
-        first = some.where("id = least_id").groupBy(*by).agg(F.min(F.struct("rk", "start")).alias("first"))
-        own = (F.col("id") == F.col("least_id")) & (F.col("first.rk") == F.col("rk")) & (F.col("first.start") == F.col("start"))
-        return some.join(scratch.put(first, "firsts"), by).select("id", "rk", "start", "end", (~own).alias("removed"), F.col("least_id").alias("component_id"))
+        first = some.where("id = least_id").groupBy(*by).agg(F.min(F.struct("rk", "pos")).alias("first"))
+        own = (F.col("id") == F.col("least_id")) & (F.col("first.rk") == F.col("rk")) & (F.col("first.pos") == F.col("pos"))
+        return some.join(scratch.put(first, "firsts"), by).select(*units.columns, "first", (~own).alias("removed"), F.col("least_id").alias("component_id"))
+
+    by_window = scratch.put(spread(placed, ["key", "chk"]).distinct(), "fates")
+    scratch.drop(placed)
+    # The words around repeated windows, asked of their texts alone.
+    kept = F.xxhash64("component_id", "first.rk")
+    told = by_window.groupBy("id", "rk").agg(F.collect_list(F.struct("pos", "key", "chk", "removed", kept.alias("kept"), (F.col("pos") - F.col("first.pos")).alias("away"))).alias("told"))
+    told = scratch.put(told, "told")
+    around = may_contain(base, F.col("rk"), True, bitmap_of(told, "rk")).where("bm_hit").select("id", "rk", "text").dropDuplicates(["id", "rk"]).join(told, ["id", "rk"])
+
+    def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["key", "chk", "removed", "start", "end", "before", "before_at", "after", "after_at"]
+        for x in sliced(batches, "text", 1_000_000):
+            of, rows_ = [], []
+            for i, (text, repeated) in enumerate(zip(x.column("text").to_pylist(), x.column("told").to_pylist(), strict=True)):
+                start, end, h = word_table(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32))
+                p, start, end = anchors(h, n_words, radius) - radius, start.astype(np.int32), end.astype(np.int32)
+                first, last = chains(*keyed(h, p), p, width)
+                for w, a, b, lo, hi in reach(list(zip(p[first].tolist(), p[last].tolist(), strict=True)), len(h), width, {w["pos"]: w for w in repeated}):
+                    b += width
+                    of.append(i)
+                    rows_.append(
+                        (w["key"], w["chk"], w["removed"], int(start[a]), int(end[b - 1]), h[lo:a][::-1].tobytes(), start[lo:a][::-1].tobytes(), h[b:hi].tobytes(), end[b:hi].tobytes())
+                    )
+            if of:
+                at = pa.array(of)
+                types = [pa.int64(), pa.int32(), pa.bool_(), pa.int32(), pa.int32(), *[pa.binary()] * 4]
+                yield pa.RecordBatch.from_arrays([x.column("id").take(at), x.column("rk").take(at), *map(pa.array, zip(*rows_, strict=True), types)], ["id", "rk", *names])
+
+    kinds = f"id {id_type}, rk bigint, key bigint, chk int, removed boolean, start int, end int, before binary, before_at binary, after binary, after_at binary"
+    context = scratch.put(around.mapInArrow(contexts, kinds), "contexts")
+    scratch.drop(told)
+
+    def extended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in batches:
+            if not x.num_rows:
+                continue
+            column = {c: x.column(c).to_pylist() for c in x.schema.names if c not in ("id", "k_id")}
+            left, right = common(column["before"], column["k_before"]).tolist(), common(column["after"], column["k_after"]).tolist()
+            at = pa.array([i for i, (m, n) in enumerate(zip(left, right, strict=True)) if m or n], pa.int64())
+            for side, removed in (("", True), ("k_", False)):
+                starts = [int.from_bytes(v[4 * n - 4 : 4 * n], "little") if n else s for v, n, s in zip(column[f"{side}before_at"], left, column[f"{side}start"], strict=True)]
+                ends = [int.from_bytes(v[4 * n - 4 : 4 * n], "little") if n else e for v, n, e in zip(column[f"{side}after_at"], right, column[f"{side}end"], strict=True)]
+                out = [x.column(f"{side}id"), x.column(f"{side}rk"), pa.array(starts, pa.int32()), pa.array(ends, pa.int32()), pa.array([removed] * len(left)), x.column("k_id")]
+                yield pa.RecordBatch.from_arrays([c.take(at) for c in out], ["id", "rk", "start", "end", "removed", "component_id"])
 
-    by_window = spread(placed, ["key", "chk"])
+    of_kept = context.where("not removed").drop("removed")
+    of_kept = of_kept.select("key", "chk", *(F.col(c).alias(f"k_{c}") for c in of_kept.columns if c not in ("key", "chk")))
+    both = context.where("removed").drop("removed").join(of_kept, ["key", "chk"]).drop("key", "chk")
+    runs = scratch.put(both.mapInArrow(extended, f"id {id_type}, rk bigint, start int, end int, removed boolean, component_id {id_type}").distinct(), "runs")
+    scratch.drop(context)
 
     lines = F.split(F.col("text"), "\n")
     para = base.select("id", "rk", F.posexplode(lines).alias("no", "text"))
@@ -128,9 +244,9 @@ def repeated_passages(
     roots = components(links, scratch)
     # Where lines begin, only for the texts that hold one of a repeated component.
     spots = occurrences.select("id", "rk", "no", "key").join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
-    spots = scratch.put(spots.select("id", "rk", "root", F.col("no").alias("start"), F.col("no").alias("end")), "spots")
+    spots = scratch.put(spots.select("id", "rk", "root", F.col("no").alias("pos")), "spots")
     fate = spread(spots, ["root"])
-    fate = scratch.put(fate.groupBy("id", "rk").agg(F.collect_set(F.struct(F.col("start").alias("no"), "removed", "component_id")).alias("units")), "lines")
+    fate = scratch.put(fate.groupBy("id", "rk").agg(F.collect_set(F.struct(F.col("pos").alias("no"), "removed", "component_id")).alias("units")), "lines")
     texts = may_contain(base, F.col("rk"), True, bitmap_of(fate, "rk")).where("bm_hit").select("id", "rk", F.transform(lines, lambda x: F.length(x)).alias("sizes"))
     texts = texts.dropDuplicates(["id", "rk"]).join(fate, ["id", "rk"])
     numbered = texts.select("id", "rk", "units", F.posexplode("sizes").alias("no", "size"))
@@ -140,10 +256,11 @@ def repeated_passages(
     )
     by_line = numbered.where("unit is not null").select("id", "rk", "start", (F.col("start") + F.col("size")).cast("int").alias("end"), "unit.removed", "unit.component_id")
 
-    units = by_window.unionByName(by_line).distinct()
+    spans = ["id", "rk", "start", "end", "removed", "component_id"]
+    units = by_window.select(*spans).unionByName(by_line).distinct().withColumn("n", F.lit(1)).unionByName(runs.withColumn("n", F.lit(0)))
     order = Window.partitionBy("id", "rk", "removed").orderBy("start", "end")
-    reach = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    islands = units.withColumn("new", F.when(F.col("start") <= reach + 1, 0).otherwise(1))
+    so_far = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    islands = units.withColumn("new", F.when(F.col("start") <= so_far + 1, 0).otherwise(1))
     islands = islands.withColumn("island", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    out = islands.groupBy("id", "rk", "removed", "island").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min("component_id").alias("component_id"), F.count("*").alias("n_units"))
+    out = islands.groupBy("id", "rk", "removed", "island").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min("component_id").alias("component_id"), F.sum("n").alias("n_units"))
     return out.select(F.col("id").alias(id_col), "start", "end", "removed", "component_id", "n_units")
