@@ -119,6 +119,23 @@ def test_nearest_has_recall_and_ties(spark):
     assert nearest(df.where("vec_id >= 5000"), F.lit(True)).count() == 0
 
 
+def test_nearest_has_recall_with_uneven_norms(spark):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(2000, 64))
+    x = x / np.linalg.norm(x, axis=1, keepdims=True) * rng.lognormal(sigma=0.5, size=(2000, 1))
+    x[7] *= 10
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<double>")
+    found = {}
+    for r in nearest(df, F.col("vec_id") % 20 == 0).collect():
+        found.setdefault(r["query_id"], set()).add(r["vec_id"])
+    recall = []
+    for q in range(0, 2000, 20):
+        s = x @ x[q]
+        s[q] = -np.inf
+        recall.append(len(found[q] & set(np.argsort(-s)[:20].tolist())) / 20)
+    assert np.mean(recall) >= 0.9, np.mean(recall)
+
+
 def test_probes_come_in_order_of_cost():
     at = np.array([0.1, 0.7, 0.45])
     cost = [sum(at[j] ** 2 if s < 0 else (1 - at[j]) ** 2 for j, s in p) for p in perturbations(at, 27)]

@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 from .minhash import mix64, multipliers
 from .shared import Scratch
 
+#: Fixed value: the largest norm of a band, divided by its least.
+BAND = 1.25
+
 
 def usable(vector: Column) -> Column:
     """Not null, not empty, without null or non-finite components, and not zero."""
@@ -43,7 +46,8 @@ def perturbations(offset: np.ndarray, probes: int) -> list[list[tuple[int, int]]
 
 class Hashes:
     """tables x m Gaussian projections, cut into cells of a width. Inner product search becomes search by distance:
-    vectors are divided by the largest norm and get one more component that makes them unit vectors."""
+    vectors are divided by the largest norm of their band and get one more component that makes them unit vectors.
+    A band holds norms within a factor of BAND, counted down from the largest; queries are the same for all bands."""
 
     def __init__(self, dim: int, largest: float, tables: int, m: int, width: float, seed: int):
         rng = np.random.default_rng(seed)
@@ -57,7 +61,8 @@ class Hashes:
         if is_query:
             x = np.hstack([x / norm, np.zeros((len(x), 1))])
         else:
-            x = np.hstack([x / self.largest, np.sqrt(np.maximum(0, 1 - (norm / self.largest) ** 2))])
+            scale = self.largest / BAND ** np.floor(np.log(self.largest / norm) / np.log(BAND))
+            x = np.hstack([x / scale, np.sqrt(np.maximum(0, 1 - (norm / scale) ** 2))])
         return (x @ self.a + self.b) / self.width
 
     def buckets(self, cells: np.ndarray) -> np.ndarray:
@@ -83,13 +88,17 @@ def nearest(
     probes: int = 100,
     block: int = 16384,
     seed: int = 5,
+    recall: float = 0.9,
+    checked: int = 100,
 ) -> DataFrame:
     """The k nearest by inner product found for each query: query_id, rank, vec_id, score.
 
     Every usable vector is entered in one bucket of each table; a query visits, in each table, its own bucket
     and the likeliest perturbed ones. Buckets are dealt to groups of about block vectors, larger ones are
     split, and each piece returns its k best for each query after exact scoring in double precision; ties go to
-    the smaller id. Queries that met fewer than k vectors are compared with all of them. Vectors of a length
+    the smaller id. The recall of at most so many checked queries is measured against all vectors; while it is not above
+    recall by two standard errors, probes are doubled, and where all neighbouring buckets are not enough every query is
+    compared with all vectors. So are queries that met fewer than k vectors. Vectors of a length
     other than the commonest (the longer on a tie), unusable ones and null ids take no part. Repeated ids: each row is
     a candidate, and an id that is its own candidate is left out. No usable vectors: no rows.
     """
@@ -116,7 +125,7 @@ def nearest(
                 group = t * groups + (bucket.view(np.uint64) % np.uint64(groups)).astype(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(group), pa.array(bucket), x.column("id"), x.column("v")], ["grp", "bucket", "id", "v"])
 
-    def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def visit(batches: Iterator[pa.RecordBatch], probes: int) -> Iterator[pa.RecordBatch]:
         for x in batches:
             if not x.num_rows:
                 continue
@@ -141,7 +150,6 @@ def nearest(
 
     entered = scratch.put(base.select("id", "v").mapInArrow(enter, "grp bigint, bucket bigint, id bigint, v array<double>"), "entered")
     queries = base.where("is_query").select("id", "v")
-    visits = scratch.put(queries.mapInArrow(visit, "grp bigint, id bigint, v array<double>, buckets array<bigint>"), "visits")
 
     def best_of(visits: DataFrame, entered: DataFrame, label: str) -> DataFrame:
         sizes = entered.groupBy("grp").agg(F.ceil(F.count("*") / block).cast("int").alias("pieces"))
@@ -184,13 +192,36 @@ def nearest(
         order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
         return scratch.put(best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score"), f"best-{label}")
 
-    best = best_of(visits, entered, "probed")
+    first_table = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(groups - 1).cast("bigint")))
+
+    def exact(asking: DataFrame, label: str) -> DataFrame:
+        everywhere = asking.withColumn("grp", first_table).select("grp", "id", "v", F.lit(None).cast("array<bigint>").alias("buckets"))
+        return best_of(everywhere, entered.where(F.col("grp") < groups), label)
+
+    def probed(n: int) -> DataFrame:
+        kinds = "grp bigint, id bigint, v array<double>, buckets array<bigint>"
+        return best_of(scratch.put(queries.mapInArrow(lambda batches: visit(batches, n), kinds), "visits"), entered, "probed")
+
+    best = probed(probes)
+    sample = scratch.put(queries.select("id").distinct().orderBy(F.xxhash64("id"), "id").limit(checked), "sample")
+    truth = exact(queries.join(sample, "id"), "truth").select("query_id", "vec_id")
+
+    def enough(found: DataFrame) -> bool:
+        both = truth.join(found.select("query_id", "vec_id", F.lit(1.0).alias("hit")).distinct(), ["query_id", "vec_id"], "left")
+        each = both.groupBy("query_id").agg(F.avg(F.coalesce("hit", F.lit(0.0))).alias("r"))
+        got = each.agg(F.avg("r").alias("mean"), F.stddev_pop("r").alias("sd"), F.count("*").alias("n")).collect()[0]
+        return not got["n"] or got["mean"] - 2 * got["sd"] / got["n"] ** 0.5 >= recall
+
+    most = 3**m  # the buckets within one step in each projection
+    while not enough(best):
+        if probes >= most:
+            return exact(queries, "all")
+        probes = min(most, 2 * probes)
+        best = probed(probes)
     short = best.groupBy("query_id").agg(F.count("*").alias("n")).where(F.col("n") >= min(k, count - 1)).select(F.col("query_id").alias("id"))
     short = scratch.put(queries.join(short, "id", "left_anti"), "short")
     if short.isEmpty() or count == 1:
         return best
-    first_table = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(groups - 1).cast("bigint")))
-    everywhere = short.withColumn("grp", first_table).select("grp", "id", "v", F.lit(None).cast("array<bigint>").alias("buckets"))
-    rest = best_of(everywhere, entered.where(F.col("grp") < groups), "all")
+    rest = exact(short, "all")
     done = best.join(short.select(F.col("id").alias("query_id")).distinct(), "query_id", "left_anti")
     return done.select("query_id", "rank", "vec_id", "score").unionByName(rest)
