@@ -5,9 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .graph import components
-from .minhash import char_shingles, text_links
-from .shared import Scratch, bitmap_of, may_contain, row_key
+from .minhash import char_shingles, text_components
+from .shared import Scratch, bitmap_of, may_contain, row_key, spread_join
 
 #: What is trimmed from the ends of a line.
 BLANK = " \t\r\x0b\x0c"
@@ -28,21 +27,23 @@ def duplicate_lines(
     base = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text is not null")
     each = base.select(F.explode(_lines(F.col("text"))).alias("line")).select(_trimmed(F.col("line")).alias("text"))
     each = each.where(F.length("text") >= min_chars).select(F.xxhash64("text").alias("key"), "text")
-    links = text_links(each, lambda lines: char_shingles(lines, n_chars), share, bands, rows, scratch)
-    roots = components(links, scratch)
+    roots = text_components(each, lambda lines: char_shingles(lines, n_chars), share, bands, rows, scratch)
     place = base.withColumn("rk", row_key("id", "text")).select("id", "rk", F.posexplode(_lines(F.col("text"))).alias("no", "line"))
     place = place.withColumn("line", _trimmed(F.col("line"))).where(F.length("line") >= min_chars)
     place = place.select("id", "rk", F.col("no"), F.xxhash64("line").alias("key"))
     place = scratch.put(place, "places")
     # Lines that occur twice or are linked; where each stands is only asked of those.
-    often = place.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    often = place.groupBy("key").agg(F.count("*").alias("n"))
     linked = roots.withColumnRenamed("node", "key")
-    some = scratch.put(often.unionByName(linked.select("key")).distinct().join(linked, "key", "left").select("key", F.coalesce("root", "key").alias("root")), "repeated")
-    maybe = may_contain(place, F.col("key"), True, bitmap_of(some, "key")).where("bm_hit").drop("bm_hit").join(some, "key")
+    some = often.join(linked, "key", "left").where("n > 1 or root is not null").select("key", F.coalesce("root", "key").alias("root"), "n")
+    some = scratch.put(some, "repeated")
+    maybe = may_contain(place, F.col("key"), True, bitmap_of(some, "key")).where("bm_hit").drop("bm_hit")
+    maybe = spread_join(maybe, some.select("key", "root"), "key", "rk", scratch, some)
     maybe = scratch.put(maybe.select("id", "rk", "no", "root"), "repeats")
     first = F.min(F.struct(F.col("id").isNull(), F.col("id").alias("id"), "rk", "no"))
-    keep = scratch.put(maybe.groupBy("root").agg(first.alias("first")), "keep")
-    drop = maybe.join(keep, "root").where(~(F.col("first.id").eqNullSafe(F.col("id")) & (F.col("first.rk") == F.col("rk")) & (F.col("first.no") == F.col("no"))))
+    keep = scratch.put(maybe.groupBy("root").agg(first.alias("first"), F.count("*").alias("n")), "keep")
+    drop = spread_join(maybe, keep.select("root", "first"), "root", "rk", scratch, keep)
+    drop = drop.where(~(F.col("first.id").eqNullSafe(F.col("id")) & (F.col("first.rk") == F.col("rk")) & (F.col("first.no") == F.col("no"))))
     return scratch.put(drop.groupBy("id", "rk").agg(F.collect_set("no").alias("drop")), "drop")
 
 

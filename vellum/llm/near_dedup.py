@@ -10,9 +10,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .graph import components
-from .minhash import WordHashes, band_keys, fewest_matches, near_links, shingles, signatures, sliced, word_hashes
-from .shared import Scratch, bitmap_of, may_contain, row_key
+from .minhash import WordHashes, band_keys, fewest_matches, near_components, shingles, signatures, sliced, word_hashes
+from .shared import Scratch, bitmap_of, may_contain, release, row_key, spread_join
 
 
 def text_set(text: str, n: int, cache: WordHashes) -> np.ndarray:
@@ -63,6 +62,8 @@ def near_duplicates(
                 [x.column("id"), x.column("rk"), pa.array([len(s) for s in sets], pa.int64()), pa.array(fp, pa.binary()), pa.array(sig, pa.binary())],
                 ["id", "rk", "n", "fp", "sig"],
             )
+        cache.clear()
+        release()
 
     rows_ = scratch.put(
         base.select("id", row_key("id", "text").alias("rk"), "text").mapInArrow(prepare, f"id {id_type}, rk bigint, n bigint, fp binary, sig binary"),
@@ -92,15 +93,18 @@ def near_duplicates(
         return some.join(wanted, on).select("key", "text").dropDuplicates(["key"])
 
     cache = WordHashes()
-    links = near_links(
-        buckets, texts_of, lambda texts: [text_set(t, n_words, cache) for t in texts], share, scratch,
-        sig=classes.select("key", "sig"), k=k, bands=(bands, rows), least=least,
-    )
-    roots = components(links, scratch)
+
+    def sets_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        found = [text_set(t, n_words, cache) for t in texts]
+        return np.concatenate(found), np.array([len(s) for s in found])
+
+    roots = near_components(buckets, texts_of, sets_of, share, scratch, sig=classes.select("key", "sig"), k=k, bands=(bands, rows), least=least)
     grouped = classes.select("key", "id").join(roots.withColumnRenamed("node", "key"), "key", "left")
     grouped = scratch.put(grouped.select("key", "id", "root"), "grouped")
-    first = grouped.where("root is not null").groupBy("root").agg(F.min("id").alias("least_id"))
-    ids = grouped.join(first, "root", "left").select(F.col("key").alias("fp"), F.when(F.col("root").isNull(), F.col("id")).otherwise(F.col("least_id")).alias("cid"))
+    linked = grouped.where("root is not null")
+    first = scratch.put(linked.groupBy("root").agg(F.min("id").alias("cid"), F.count("*").alias("n")), "first")
+    ids = spread_join(linked.select("key", "root"), first.select("root", "cid"), "root", "key", scratch, first).select(F.col("key").alias("fp"), "cid")
+    ids = ids.unionByName(grouped.where("root is null").select(F.col("key").alias("fp"), F.col("id").alias("cid")))
     ids = scratch.put(ids, "ids")
     out = rows_.select("id", "rk", "n", "fp").join(ids, "fp", "left")
     component = F.when(F.col("fp").isNull(), F.col("id")).otherwise(F.col("cid"))

@@ -9,8 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .graph import components
-from .minhash import U64, WordHashes, mix64, multipliers, shingles, sliced, text_links, word_hashes
+from .minhash import U64, WordHashes, mix64, multipliers, shingles, sliced, text_components, word_hashes
 from .shared import Scratch, bitmap_of, may_contain, row_key
 
 
@@ -240,8 +239,7 @@ def repeated_passages(
         hashes = [shingles(word_hashes(t.encode("utf-8", "surrogatepass").split(), cache), n_words) for t in texts]
         return np.concatenate(hashes), np.array([len(h) for h in hashes])
 
-    links = text_links(occurrences.select("key", "text"), shingled, share, bands, rows, scratch)
-    roots = components(links, scratch)
+    roots = text_components(occurrences.select("key", "text"), shingled, share, bands, rows, scratch)
     # Where lines begin, only for the texts that hold one of a repeated component.
     spots = occurrences.select("id", "rk", "no", "key").join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
     spots = scratch.put(spots.select("id", "rk", "root", F.col("no").alias("pos")), "spots")

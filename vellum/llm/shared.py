@@ -2,21 +2,26 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one of our own where that is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir; one of our own where that is unset and all run in one process."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
     option = spark.sparkContext._jsc.sc().getCheckpointDir()
     if option.isDefined():
         return option.get().rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     own = f"file://{tempfile.mkdtemp(prefix='vellum-')}"
     spark.sparkContext.setCheckpointDir(own)
     return spark.sparkContext._jsc.sc().getCheckpointDir().get().rstrip("/")
@@ -51,6 +56,37 @@ class Scratch:
         p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def release() -> None:
+    """Gives what a task's Arrow batches and arrays took back to the system: Python workers outlive their tasks."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # only glibc has it
+        pass
+
+
+#: A key is hot that has more than one in so many rows: there are fewer hot keys than this.
+HOT_SHARE = 1000
+
+
+def spread_join(big: DataFrame, small: DataFrame, key: str, by: str, scratch: Scratch, counts: DataFrame | None = None) -> DataFrame:
+    """big joined with small (one row for each key), hot keys of big being dealt out by column by to several tasks.
+
+    For each hot key (more than one row of HOT_SHARE; so the broadcast table of them has less than HOT_SHARE rows,
+    whatever the size) small's row is repeated, once for each HOT_SHARE-th of all rows that the key has: less
+    than 2 * HOT_SHARE more rows. counts (key, n) are those of big, which is counted if they are not at hand.
+    """
+    counts = big.groupBy(key).agg(F.count("*").alias("n")) if counts is None else counts
+    counts = scratch.put(counts.select(key, "n"), "counts")
+    floor = (counts.agg(F.sum("n")).first()[0] or 0) // HOT_SHARE + 1
+    hot = scratch.put(counts.where(F.col("n") > floor).select(key, F.ceil(F.col("n") / floor).cast("int").alias("_parts")), "hot")
+    parts = F.coalesce("_parts", F.lit(1))
+    left = big.join(F.broadcast(hot), key, "left").withColumn("_part", F.pmod(F.xxhash64(by), parts).cast("int")).drop("_parts")
+    right = small.join(F.broadcast(hot), key, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("_parts")
+    return left.join(right, [key, "_part"]).drop("_part")
+
+
 def list_files(spark: SparkSession, path: str) -> list[tuple[str, int]]:
     """(uri, bytes) of the data files in a folder of any Hadoop file system."""
     jvm = spark.sparkContext._jvm

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .minhash import sliced
+from .shared import release
 
 WORD = re.compile(r"[^\W\d_]+")
 #: Tokens in one chain at most; a longer line is several chains.
@@ -280,6 +281,7 @@ def score_toxicity(
                 [x.column("id"), pa.array(model.score(total, tokens)), pa.array(tokens.astype(np.int64)), pa.array(marks, spans_type)], ["id", "score", "n_tokens", "spans"]
             )
         model.cache.clear()  # the worker that holds the broadcast goes on to other work
+        release()
 
     out = base.mapInArrow(run, f"id {kind}, score double, n_tokens bigint, spans array<struct<start:bigint,end:bigint,p:double>>")
     held = F.coalesce(F.pmod(F.crc32(F.col("id").cast("string").cast("binary")), F.lit(5)) == 0, F.lit(False))
@@ -301,5 +303,6 @@ def without_toxic(
             total, tokens, _ = model.expected([t or "" for t in x.column(text_col).to_pylist()])
             yield x.filter(pa.array(model.score(total, tokens) < threshold))
         model.cache.clear()
+        release()
 
     return docs.mapInArrow(run, docs.schema)
