@@ -72,7 +72,7 @@ def components(edges: DataFrame, scratch: Scratch, max_rounds: int = 100, chunk:
     left fits one chunk soon. A hub has one row for each chunk. Null ends and self-loops carry no link.
     The result is a table in the shared folder.
     """
-    live = edges.where("a <> b").select("a", "b")
+    live = scratch.put(edges.where("a <> b").select("a", "b"), "edges")  # what makes the edges has workers of its own
     kind = dict(live.dtypes)["a"]
     order = Window.partitionBy("node").orderBy("up")
     steps: list[DataFrame] = []

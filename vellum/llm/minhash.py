@@ -18,7 +18,7 @@ from .shared import Scratch, bitmap_of, may_contain, release, spread_join
 
 U64 = np.uint64
 #: Band rows that a task holds before it passes them on, about.
-MET = 400_000
+MET = 200_000
 #: Pairs that are compared at once, as a number of bits and of pairs.
 PAIR_BITS = 12
 PAIRS = 1 << PAIR_BITS

@@ -27,11 +27,20 @@ def shared_folder(spark: SparkSession) -> str:
     return spark.sparkContext._jsc.sc().getCheckpointDir().get().rstrip("/")
 
 
+def small_batches(spark: SparkSession, most: int = 4 << 20) -> None:
+    """Lowers the bytes of the session's Arrow batches, if they are more: each running task holds several of them, in the JVM and in Python."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(name, None)
+    if now is None or not now.rstrip("bB").isdigit() or not 0 < int(now.rstrip("bB")) <= most:
+        spark.conf.set(name, str(most))
+
+
 class Scratch:
     """Tables written to the shared folder: they cut lineage, survive the loss of executors, and are compact."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
+        small_batches(spark)
         self.root = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
         self._n = 0
 

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .minhash import sliced
-from .shared import release
+from .shared import release, small_batches
 
 WORD = re.compile(r"[^\W\d_]+")
 #: Tokens in one chain at most; a longer line is several chains.
@@ -250,6 +250,7 @@ def score_toxicity(
     so does every text where nothing was learnt. A null id is not held out. Several labels of an id count as
     their maximum; labels other than 0 and 1 are not used. Extra columns are not read.
     """
+    small_batches(docs.sparkSession)
     texts, y = training_rows(docs, labels, id_col, text_col, label_col, per_label, max_chars)
     model = fit(texts, y)
     model.cache = {}
@@ -292,6 +293,7 @@ def without_toxic(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", threshold: float = 0.5, per_label: int = 4000, max_chars: int = 20_000
 ) -> DataFrame:
     """docs, all columns, without the rows that score threshold or more; see score_toxicity()."""
+    small_batches(docs.sparkSession)
     texts, y = training_rows(docs, labels, id_col, text_col, label_col, per_label, max_chars)
     model = fit(texts, y)
     model.cache = {}
