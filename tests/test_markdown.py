@@ -49,9 +49,10 @@ def test_headings(spark):
     assert all(text[r["start"] :].lstrip("# ").startswith(r["text"]) for r in rows)
 
 
-def test_lines_of_many_lines(spark, monkeypatch):
-    notes = spark.createDataFrame([("n", "a\nbb\n\nc")], "path string, content string")
-    short = M.lines_of(notes, ["path"]).orderBy("no").collect()
-    monkeypatch.setattr(M, "MANY_LINES", 1)
-    assert M.lines_of(notes, ["path"]).orderBy("no").collect() == short
-    assert [r["start"] for r in short] == [0, 2, 5, 6]
+def test_headings_are_outside_protected_regions(spark):
+    text = "# One\n```\n# fenced\nset\n===\n```\n## With `code` in it\n## [a](b)\n---\n---\nTitle `x`\n===\nLast\n==="
+    notes = spark.createDataFrame([("n", text), ("n", "# Other"), ("m", None), ("e", "")], "path string, content string")
+    rows = M.headings(notes, ["path"]).collect()
+    assert sorted((r["text"], r["level"]) for r in rows) == [("---", 2), ("Last", 1), ("One", 1), ("Other", 1)]
+    spans = {r["path"]: r["spans"] for r in M.with_spans(notes.where("path <> 'n'")).collect()}
+    assert spans == {"m": [], "e": []}

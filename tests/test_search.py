@@ -1,6 +1,10 @@
+import random
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
+from vellum.functions import kernels as K
 from vellum.operators import anchors as A
 from vellum.operators import extract as X
 from vellum.operators import markdown as M
@@ -96,3 +100,77 @@ def test_still_there(spark):
         A.still_there(F.col("t"), F.lit(9), F.lit(40), F.lit("now")).alias("c"),
     ).first()
     assert tuple(row) == (True, False, False)
+
+
+def scans(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("FileScan")
+
+
+def test_bodies_are_scanned_once(spark, tmp_path):
+    spark.createDataFrame([("a.md", "# T\nterm two", 1)], "path string, content string, mtime bigint").write.parquet(str(tmp_path / "n"))
+    notes = spark.read.parquet(str(tmp_path / "n"))
+    terms = spark.createDataFrame([(w, w, False) for w in ("term", "two")], "key string, query string, case_sensitive boolean")
+    for df in (Q.occurrences(notes, terms, ["path"]), Q.hits(notes, terms), Q.cap_notes(Q.hits(notes, terms, per_note=3), 5), X.extract(notes, ["path"], broad=True), M.headings(notes, ["path"]), M.with_spans(notes)):
+        assert scans(df) == 1
+        assert df.count() > 0
+
+
+def test_offsets_take_linear_time(spark):
+    notes = spark.createDataFrame([("n", "ab " * 200_000)], "path string, content string")
+    terms = spark.createDataFrame([("ab", "ab", False)], "key string, query string, case_sensitive boolean")
+    began = time.perf_counter()
+    row = Q.occurrences(notes, terms, ["path"]).agg(F.count("*"), F.sum("start")).first()
+    assert tuple(row) == (200_000, 3 * 199_999 * 100_000) and time.perf_counter() - began < 20
+
+
+@pytest.mark.parametrize("automaton", [True, False])
+def test_many_terms_give_what_each_gives(spark, monkeypatch, automaton):
+    if not automaton:
+        monkeypatch.setattr(K, "ahocorasick", None)
+    rng = random.Random(4)
+    words = sorted({"".join(rng.choice("abA日İ_") for _ in range(rng.randint(1, 4))) for _ in range(60)})
+    text = " ".join(rng.choice(words) + rng.choice(["", "x", "-", " "]) for _ in range(400))
+    rows = [(w, w, False) for w in words] + [(f"={w}", w, True) for w in words]
+    terms = K.Terms([(k, q if s else K.folded(q)[0], s) for k, q, s in rows])
+    want = []
+    for k, q, s in rows:
+        hay, needle = (text, q) if s else (K.folded(text)[0], K.folded(q)[0])
+        source = list(range(len(text) + 1)) if s else K.folded(text)[1] or list(range(len(text) + 1))
+        side = K.boundary(needle)
+        for at in range(len(hay)):
+            if hay.startswith(needle, at):
+                a, b = source[at], source[at + len(needle)]
+                if a >= 0 and b >= 0 and not (side and ((a and side(text[a - 1])) or (b < len(text) and side(text[b])))):
+                    want.append((k, a, b))
+    assert sorted(terms.occurrences(text)) == sorted(want) and len(want) > 100
+
+
+def test_notes_with_one_path_do_not_mix(spark):
+    notes = spark.createDataFrame([("p", "first term", 1), ("p", "another term here", 2), ("q", None, 3), ("r", "", 4)], "path string, content string, mtime bigint")
+    terms = spark.createDataFrame([("term", "term", False), ("none", "  ", False)], "key string, query string, case_sensitive boolean")
+    assert sorted((r["mtime"], r["excerpt"]) for r in Q.hits(notes, terms).collect()) == [(1, "first term"), (2, "another term here")]
+    assert Q.occurrences(notes.where("false"), terms, ["path"]).count() == Q.occurrences(notes, terms.where("false"), ["path"]).count() == 0
+
+
+def test_extracted_terms_are_valid_queries(spark):
+    notes = spark.createDataFrame([("n", "**a|b** x\n# A [x] b\nplain text"), ("m", None)], "path string, content string")
+    keys = {r["key"] for r in X.extract(notes, ["path"], low=1).collect()}
+    assert "plain text" in keys and not any(c in k for k in keys for c in "|[]")
+
+
+def test_whole_replacement_of_each_text(spark):
+    rows = [("all", 0, 5, 10), ("all", 5, 9, 10), ("late", 2, 10, 10), ("gap", 0, 3, 10), ("gap", 4, 10, 10), ("put", 3, 3, 10), ("both", 4, 4, 10), ("both", 0, 10, 10)]
+    e = spark.createDataFrame(rows, "k string, start int, end int, length int")
+    assert {r["k"]: r["replaced"] for r in A.whole_replaced(e, ["k"]).collect()} == {"all": True, "late": False, "gap": False, "put": False, "both": True}
+
+
+def test_spots_steps_and_badges(spark):
+    a = spark.createDataFrame([("n", 2, 5)], "note string, start int, end int")
+    assert sorted((r["kind"], r["start"], r["end"]) for r in A.marks_and_badges(a, ["note"]).collect()) == [("mark", 2, 5), ("widget", 5, 5)]
+    found = F.array(F.struct(F.lit(0).alias("start"), F.lit(2).alias("end"), F.lit("xy").alias("text")))
+    row = spark.range(1).select(
+        A.step(F.lit(2), 1, F.lit(3)).alias("on"), A.step(F.lit(0), -1, F.lit(3)).alias("back"), A.step(F.lit(0), 1, F.lit(0)).alias("none"),
+        A.spots(F.lit("abcdef"), F.lit("selection"), F.lit(1), F.lit(3), found, F.lit(True)).alias("own"), A.spots(F.lit("abcdef"), F.lit("auto"), F.lit(1), F.lit(3), found, F.lit(False)).alias("no"),
+        A.spots(F.lit("abcdef"), F.lit("auto"), F.lit(1), F.lit(3), found, F.lit(True)).alias("all"),
+    ).first()
+    assert (row["on"], row["back"], row["none"], row["own"][0]["text"], row["no"], row["all"][0]["text"]) == (0, 2, -1, "bc", [], "xy")

@@ -54,7 +54,7 @@ def test_changes(spark, tmp_path):
     manifest = spark.createDataFrame([("c.md", 1, 1), ("d.md", 2, 1)], "path string, mtime bigint, last_changed bigint")
     want = [("b.md", 11, 7), ("d.md", 2, 1)]
     assert sorted(map(tuple, changes.apply(manifest, events, 7).collect())) == want
-    assert changes.history(events).count() == 3  # create, leave, arrive; the deletion of c.md follows nothing
+    assert [r["generation"] for r in changes.history(events).orderBy("generation").collect()] == [1, 2, 3]  # create, leave, arrive; the deletion of c.md follows nothing
     source = str(tmp_path / "in")
     events.coalesce(1).write.json(source)
     q = changes.follow(spark.readStream.schema(changes.SCHEMA).json(source), str(tmp_path / "out"), str(tmp_path / "cp"))
@@ -99,3 +99,66 @@ def test_sources(spark, tmp_path):
     assert [r["value"][-3:] for r in spark.read.text(str(tmp_path / "sums")).collect()] == ["  a", "  b"]
     m = spark.createDataFrame([("1.0", "note-search")], "version string, id string")
     assert N.verify_release(m, m.select("version"), m.select("version")).first()["agrees"]
+
+
+def test_refresh_equals_search(spark, tmp_path):
+    cache = I.ResultCache(spark, str(tmp_path))
+    make = lambda rows: spark.createDataFrame([(p, m, len(t), t) for p, m, t in rows], "path string, mtime bigint, size bigint, content string")
+    opens = lambda *paths: spark.createDataFrame([(p, i) for i, p in enumerate(paths)], "path string, ts bigint")
+    table = lambda df: sorted((r["key"], r["path"], r["start"], r["heading"], r["excerpt"]) for r in df.collect())
+    manifest = spark.createDataFrame([], "path string, mtime bigint, last_changed bigint")
+    config = EngineConfig(scope_mode="workset")
+    states = [
+        ([("a", 1, "# H\nterm one"), ("b", 1, "two term")], opens("a")),
+        ([("a", 1, "# H\nterm one"), ("b", 1, "two term")], opens("a", "b")),  # b comes into scope, unchanged
+        ([("a", 2, "one"), ("b", 1, "two term"), ("c", 2, "term two")], opens("a", "b", "c")),
+        ([("b", 1, "two term"), ("c", 3, "Term, two")], opens("a", "b", "c")),
+    ]
+    for generation, (rows, opened) in enumerate(states, 1):
+        notes = make(rows)
+        manifest = spark.createDataFrame(I.reconcile(manifest, notes.select("path", "mtime"), generation).collect(), "path string, mtime bigint, last_changed bigint")
+        engine = Engine(spark, notes, config, opens=opened)
+        want = table(engine.search_many(["term", "two", "one"]))
+        assert table(engine.refresh_many(["term", "two", "one"], cache, manifest, generation)) == want and want
+        assert table(engine.refresh("two", cache, manifest, generation)) == [x for x in want if x[0] == "two"]
+
+
+def test_cache_states(spark, tmp_path):
+    cache = I.ResultCache(spark, str(tmp_path), limit=400)
+    paths = spark.createDataFrame([("p",)], "path string")
+    hits = lambda key, n: spark.createDataFrame([(key, "p", i, "h") for i in range(n)], "key string, path string, start int, heading string")
+    keys = lambda: {r["key"] for r in cache.entries().collect()}
+    for key in ("one", "two", "new"):
+        cache.put([key], hits(key, 3), 1, paths)
+        if key == "one":
+            cache.pin("one")
+    assert keys() == {"one", "new"} or keys() == {"one", "two", "new"}
+    cache.put(["more"], hits("more", 3), 1, paths)
+    assert "one" in keys() and "more" in keys() and len(keys()) < 4  # the oldest that is not pinned goes
+    cache.put(["huge"], hits("huge", 50), 1, paths)
+    assert "huge" not in keys() and "one" in keys()
+    assert cache.entry("one")[0].count() == 3 and cache.entry("absent") is None
+    assert cache.clean() > 0 and cache.entry("one")[0].count() == 3
+    cache.remove(["one"])
+    assert "one" not in keys()
+    cache.clear()
+    assert keys() == set()
+
+
+def test_engine_can_be_cancelled_and_links_outside_code(spark):
+    notes = spark.createDataFrame([("a.md", 1, 9, "some term"), ("b.md", 1, 9, "# Real\n```\n# not a heading\n```\nterm")], "path string, mtime bigint, size bigint, content string")
+    engine = Engine(spark, notes)
+    with engine.tagged("search"):
+        assert engine.search("term").count() == 2
+    assert engine.cancel("search") == [] or engine.cancel("search") is not None
+    done = engine.link(5, 9, "term", notes.where("path = 'a.md'"), notes.where("path = 'b.md'"), 32, 1).first()
+    assert done["content"] == "some [[b#Real|term]]"
+
+
+def test_sessions_lookup(spark):
+    groups = spark.createDataFrame([("k", "q", "q", True, [("p", [(3, "x")])])], "key string, query string, display string, can_link boolean, candidates array<struct<path:string,hits:array<struct<start:int,heading:string>>>>")
+    anchors = spark.createDataFrame([("i", 0, 1, "q", "k")], "id string, start int, end int, text string, group_key string")
+    row = sessions.lookup(sessions.build(groups, anchors, "n", "auto"), "i", 5, 7).first()
+    assert row["group"]["key"] == "k" and row["candidate"]["path"] == "p" and row["hit"]["start"] == 3
+    flags = I.plan_flags(spark.createDataFrame([("a", 0, 3), ("b", 1, 3)], "key string, needed int, in_scope int")).first()
+    assert (flags["all_warm"], flags["any_partial"]) == (False, True)

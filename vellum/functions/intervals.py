@@ -43,9 +43,3 @@ def sweep_keep(items: Column) -> Column:
         )
 
     return F.aggregate(items, state, step, lambda s: s["kept"])
-
-
-def running(sizes: Column) -> Column:
-    """Exclusive running sums of an int array, as an array of the same length."""
-    sums = F.aggregate(sizes, F.array(F.lit(0)), lambda a, x: F.array_append(a, F.element_at(a, -1) + x))
-    return F.slice(sums, 1, F.size(sizes))

@@ -9,15 +9,13 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: The white space that trimming and collapsing mean, beyond ASCII.
-SPACE = r"[\t\n\x0B\f\r    -     　﻿]"
+SPACE = r"[\t\n\x0B\f\r \u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]"
 #: What a neighbour of a term may not be.
 LATIN = "[A-Za-z0-9]"
 WORD = r"[\p{L}\p{M}\p{N}_]"
 NO_SPACES_SCRIPT = r"[\p{IsHiragana}\p{IsKatakana}\p{IsHan}]"
 #: Scores of what a phrase was taken from.
 TIERS = {"heading": 1000, "emphasis": 1200, "highlight": 1200, "prose": 400, "ngram": 100}
-#: Letters whose folding changes a length or makes an ASCII letter.
-ODD_FOLD = "[İK]"
 MAX_QUERY = 256
 
 
@@ -48,20 +46,6 @@ def quoted(needle: Column) -> Column:
     return F.concat(F.lit(r"\Q"), F.replace(needle, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))
 
 
-def boundary_class(needle: Column) -> Column:
-    """The class that may not stand next to the needle: null if it needs no boundary."""
-    latin = needle.rlike("[A-Za-z]")
-    return F.when(latin, F.lit(LATIN)).when(~needle.rlike(NO_SPACES_SCRIPT), F.lit(WORD))
-
-
-def occurrence_patterns(needle: Column) -> tuple[Column, Column]:
-    """(pattern that splits a text before each occurrence, pattern of an occurrence at the start)."""
-    side = boundary_class(needle)
-    after = F.coalesce(F.concat(F.lit("(?!"), side, F.lit(")")), F.lit(""))
-    before = F.coalesce(F.concat(F.lit("(?<!"), side, F.lit(")")), F.lit(""))
-    return F.concat(before, F.lit("(?="), quoted(needle), after, F.lit(")")), F.concat(F.lit("^"), quoted(needle), after)
-
-
 def query_error(raw: Column) -> Column:
     """null for a usable query, else empty, newline, link_syntax or too_long, tested in this order."""
     body = trim(F.coalesce(raw, F.lit("")))

@@ -94,12 +94,16 @@ def through_edits(anchors: DataFrame, edits: DataFrame, keys: list[str]) -> Data
 
 
 def whole_replaced(edits: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, replaced): the edits (keys, start, end, length) cover a text from its start, but for one last character at most."""
+    """(keys, replaced): the edits (keys, start, end, length) cover a text from its start, but for one last character at most.
+
+    One row for each text with an edit; insertions cover nothing.
+    """
     w = Window.partitionBy(*keys).orderBy("start", "end")
-    grown = edits.where(F.col("end") > F.col("start")).withColumn("_reach", F.coalesce(F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    gap = F.max(F.when(F.col("start") > F.col("_reach"), 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    covered = grown.withColumn("_gap", gap).where("_gap = 0")
-    return covered.groupBy(*keys).agg(((F.max("length") > 0) & (F.max("end") >= F.greatest(F.max("length") - 1, F.lit(1)))).alias("replaced"))
+    covers = F.col("end") > F.col("start")
+    grown = edits.withColumn("_reach", F.coalesce(F.max(F.when(covers, F.col("end"))).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    gap = F.max(F.when(covers & (F.col("start") > F.col("_reach")), 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    far = F.coalesce(F.max(F.when(covers & (F.col("_gap") == 0), F.col("end"))), F.lit(0))
+    return grown.withColumn("_gap", gap).groupBy(*keys).agg(((F.max("length") > 0) & (far >= F.greatest(F.max("length") - 1, F.lit(1)))).alias("replaced"))
 
 
 def spots(text: Column, source: Column, start: Column, end: Column, found: Column, can_link: Column) -> Column:

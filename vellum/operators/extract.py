@@ -1,158 +1,83 @@
-"""Term candidates of a note: headings, emphasis, highlights, prose phrases and n-grams, merged and ranked."""
+"""Term candidates of a note: headings, emphasis, highlights, prose phrases and n-grams, merged and ranked.
+
+All candidates of a note come from its own text, so they are found, merged and ranked where its row is: one scan, no shuffle.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+
+import regex
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import kernels as K
 from ..functions import text as T
-from ..functions.intervals import overlaps_any, running
-from .markdown import lines_of
+from .markdown import protected_spans
 
-#: Fixed values.
-HARD_CAP, PER_LINE, LONGEST_PHRASE = 200, 16, 3
-CJK = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsHangul}]+"
-LETTERS = r"[\p{L}\p{M}\p{N}]+"
+_RAW = "source string, no bigint, start int, end int, query string"
 
 
 def matches(rows: DataFrame, keys: list[str], text: str, pattern: str, group: int) -> DataFrame:
-    """(keys, no, start, found): the groups of all matches of a pattern, with the offsets of the groups.
+    """(keys, no, start, found): the groups of all matches of a pattern, with their offsets."""
+
+    def kernel(body: str | None) -> Iterator[tuple[int, int, str]]:
+        for no, m in enumerate(regex.finditer(pattern, body or "")):
+            yield no, m.start(group), m.group(group)
+
+    return K.per_note(rows, keys, [text], kernel, "no int, start int, found string")
 
-    Both the parts between matches and the matches come from native functions; lengths add up to the offsets.
-    """
-    whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    inner = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else whole
-    gaps = F.transform(F.split(F.col(text), pattern, -1), lambda p: F.length(p))
-    found = rows.select(*keys, whole.alias("_w"), inner.alias("_i"), gaps.alias("_g")).where("size(_w) > 0")
-    before = running(F.zip_with(F.slice("_g", 1, F.size("_w")), "_w", lambda g, m: g + F.length(m)))
-    found = found.withColumn("_b", before)
-    each = found.select(*keys, F.posexplode(F.arrays_zip("_w", "_i", "_g", "_b")).alias("no", "x")).where("x._w is not null")
-    start = F.col("x._b") + F.col("x._g") + F.instr(F.col("x._w"), F.col("x._i")) - 1
-    return each.select(*keys, "no", start.cast("int").alias("start"), F.col("x._i").alias("found"))
 
+def _raw(notes: DataFrame, keys: list[str], content: str, source: str, found) -> DataFrame:
+    def kernel(body: str | None) -> Iterator[tuple[str, int, int, int, str]]:
+        for no, start, end in found(body or ""):
+            place = K.usable(body, start, end, [])
+            if place:
+                yield source, no, *place
 
-def trimmed(rows: DataFrame, keys: list[str], source: str) -> DataFrame:
-    """Raw candidates (keys, source, start, end, query) of matches, without white space at the ends."""
-    head = F.length("found") - F.length(F.regexp_replace("found", f"^{T.SPACE}+", ""))
-    rows = rows.withColumn("start", F.col("start") + head).withColumn("query", T.trim(F.col("found"))).where("query <> ''")
-    return rows.select(*keys, F.lit(source).alias("source"), "no", "start", (F.col("start") + F.length("query")).cast("int").alias("end"), "query")
+    return K.per_note(notes, keys, [content], kernel, _RAW)
 
 
 def inline(notes: DataFrame, keys: list[str], mark: str, source: str, content: str = "content") -> DataFrame:
-    """What stands between two equal marks (**, __ or ==) on one line."""
-    q = "".join(f"\\{c}" for c in mark)
-    return trimmed(matches(notes, keys, content, f"{q}(.+?){q}", 1), keys, source)
+    """Raw candidates (keys, source, no, start, end, query) between two equal marks (**, __ or ==) on one line."""
+    return _raw(notes, keys, content, source, lambda text: K.inline_terms(text, mark))
 
 
 def heading_terms(notes: DataFrame, keys: list[str], content: str = "content") -> DataFrame:
-    rows = lines_of(notes, keys, content)
-    text = F.regexp_extract("line", r"^ {0,3}#{1,6}[ \t]+(.+?)[ \t]*#*[ \t]*$", 1)
-    lead = F.length(F.regexp_extract("line", r"^( {0,3}#{1,6}[ \t]+)", 1))
-    rows = rows.withColumn("found", text).where("found <> ''").withColumn("start", F.col("start") + lead)
-    return trimmed(rows, keys, "heading")
+    return _raw(notes, keys, content, "heading", K.heading_terms)
 
 
-def prose(notes: DataFrame, keys: list[str], low: int = 3, high: int = 32, content: str = "content", per_line: int = PER_LINE) -> DataFrame:
+def prose(notes: DataFrame, keys: list[str], low: int = 3, high: int = 32, content: str = "content", per_line: int = K.PER_LINE) -> DataFrame:
     """Phrases of three, two, then one word of each line that is no heading: the first per_line of usable length.
 
-    Words are runs of letters, marks and digits; only white space may stand between the words of a phrase. Windows are
-    array expressions over the words of a line, so a line is one row until its phrases are chosen.
+    no is the number of the line, times per_line, and that of the phrase in its line.
     """
-    rows = lines_of(notes, keys, content).where(~F.col("line").rlike(r"^\s{0,3}#{1,6}\s")).withColumnRenamed("no", "line_no").withColumnRenamed("start", "line_start")
-    rows = held(rows, words=F.regexp_extract_all("line", F.lit(LETTERS), F.lit(0)), gaps=F.split(F.col("line"), LETTERS, -1)).where("size(words) > 0")
-    sizes = F.zip_with(F.slice("gaps", 1, F.size("words")), "words", lambda g, x: F.length(g) + F.length(x))
-    safe = F.transform(F.slice("gaps", 1, F.size("words")), lambda g: g.rlike(f"^{T.SPACE}*$"))
-    rows = held(rows, words=F.col("words"), befores=running(sizes), sizes=sizes, safe=safe)
-
-    def windows(n: int) -> Column:
-        count = F.size("words") - n + 1
-
-        def window(i: Column) -> Column:
-            last = i + n - 1
-            joined = F.lit(True)
-            for j in range(1, n):
-                joined = joined & F.get("safe", i + j)
-            return F.struct((F.get("befores", i) + F.get("sizes", i) - F.length(F.get("words", i))).alias("start"), (F.get("befores", last) + F.get("sizes", last)).alias("end"), joined.alias("safe"))
-
-        every = F.transform(F.sequence(F.lit(0), F.greatest(count - 1, F.lit(0))), window)
-        return F.filter(every, lambda x: (count > 0) & x["safe"] & (x["end"] - x["start"] >= low) & (x["end"] - x["start"] <= high))
-
-    chosen = F.slice(F.concat(*(windows(n) for n in range(LONGEST_PHRASE, 0, -1))), 1, per_line)
-    out = rows.select(*keys, "line_no", "line", "line_start", F.posexplode(chosen).alias("pick", "x"))
-    return out.select(
-        *keys, F.lit("prose").alias("source"), (F.col("line_no") * F.lit(per_line) + F.col("pick")).alias("no"), (F.col("line_start") + F.col("x.start")).alias("start"),
-        (F.col("line_start") + F.col("x.end")).alias("end"), F.substring(F.col("line"), F.col("x.start") + 1, F.col("x.end") - F.col("x.start")).alias("query"),
-    )
+    return _raw(notes, keys, content, "prose", lambda text: K.prose_terms(text, low, high, per_line))
 
 
-def held(rows: DataFrame, **columns: Column) -> DataFrame:
-    """rows with columns computed once: a generator stands between them and what uses them, so that Catalyst does not
-    write their expressions into lambdas, to be evaluated for each element."""
-    packed = rows.withColumn("_held", F.explode(F.array(F.struct(*(c.alias(n) for n, c in columns.items())))))
-    return packed.withColumns({n: F.col(f"_held.{n}") for n in columns}).drop("_held")
-
-
-def ngrams(notes: DataFrame, keys: list[str], low: int = 2, high: int = 6, limit: int = 12, run: str = CJK, content: str = "content") -> DataFrame:
+def ngrams(notes: DataFrame, keys: list[str], low: int = 2, high: int = 6, limit: int = 12, run: str = K.CJK, content: str = "content") -> DataFrame:
     """Character n-grams of the runs of a script, long ones first, at most limit of each run."""
-    runs = matches(notes, keys, content, run, 0)
-
-    def of_length(n: int) -> Column:
-        starts = F.when(F.length("found") >= n, F.sequence(F.lit(0), F.length("found") - n)).otherwise(F.array().cast("array<int>"))
-        return F.transform(starts, lambda i: F.struct(i.alias("i"), F.lit(n).alias("n")))
+    return _raw(notes, keys, content, "ngram", lambda text: K.gram_terms(text, low, high, limit, run))
 
-    every = F.concat(*(of_length(n) for n in range(high, low - 1, -1)))
-    each = runs.withColumn("run", F.col("no")).select(*keys, "run", "start", "found", F.posexplode(F.slice(every, 1, limit)).alias("pick", "x"))
-    start = F.col("start") + F.col("x.i")
-    return each.select(
-        *keys, F.lit("ngram").alias("source"), (F.col("run") * F.lit(limit) + F.col("pick")).alias("no"), start.alias("start"), (start + F.col("x.n")).alias("end"),
-        F.substring(F.col("found"), F.col("x.i") + 1, F.col("x.n")).alias("query"),
-    )
 
-
-def merge(
-    raw: DataFrame, keys: list[str], stop: list[str], ignored: list[str], low: int = 3, high: int = 32, most: int = 40, case_sensitive: bool = False
+def extract(
+    notes: DataFrame, keys: list[str], focused: bool = True, phrases: bool = True, broad: bool = False, low: int = 3, high: int = 32, gram_low: int = 2, gram_high: int = 6,
+    most: int = 40, span_limit: int = 12, stop: list[str] | None = None, ignored: list[str] | None = None, case_sensitive: bool = False, protect: bool = True,
 ) -> DataFrame:
-    """(keys, key, query, display, source, score, anchors, rank): raw candidates merged by normalised text and ranked.
+    """(keys, key, query, display, source, score, anchors, rank): the best terms of each row of notes (keys, content).
 
-    raw has keys, source, seq (the order of the sources), start, end, query. The first spelling is the query, the
-    best source the display; anchors are distinct by place; stop words, ignored terms and lengths outside the
-    bounds go (n-grams have bounds of their own). Aggregates only: one shuffle by key, one by note.
+    Candidates stand outside protected regions (all of the text without protect) and are valid queries. Those of one
+    normalised text are one: the first spelling is the query, the best source the display; anchors are distinct by
+    place. Stop words, ignored terms and lengths outside the bounds go (n-grams have bounds of their own). Ranked by score,
+    then length, then order. Null texts have none; rows are never mixed, even if their keys are equal.
     """
-    rows = raw.withColumn("key", T.term_key(F.col("query"), case_sensitive)).where("key <> ''")
-    banned = [T.term_key(F.lit(t), case_sensitive) for t in [*stop, *ignored]]
-    if banned:
-        rows = rows.where(~F.array_contains(F.array(*banned), F.col("key")))
-    rows = rows.where((F.col("source") == "ngram") | F.length("key").between(low, high))
-    rows = rows.withColumn("score", T.tier_score(F.col("source"), F.col("query")))
-    merged = rows.groupBy(*keys, "key").agg(
-        F.min_by("query", "seq").alias("query"), F.max_by(F.struct("query", "source", "score"), F.struct("score", -F.col("seq"))).alias("best"), F.min("seq").alias("seq"),
-        F.array_sort(F.collect_set(F.struct("start", "end"))).alias("anchors"),
-    )
-    order = Window.partitionBy(*keys).orderBy(F.desc("best.score"), F.desc(F.length("query")), "seq")
-    ranked = merged.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= min(most, HARD_CAP))
-    return ranked.select(*keys, "key", "query", F.col("best.query").alias("display"), F.col("best.source").alias("source"), F.col("best.score").alias("score"), "anchors", "rank")
+    wanted = K.Candidates(focused, phrases, broad, low, high, gram_low, gram_high, most, span_limit, stop or (), ignored or (), case_sensitive)
 
+    def kernel(body: str | None) -> Iterator[tuple]:
+        if body:
+            yield from wanted.ranked(body, protected_spans(body) if protect else [])
 
-def extract(
-    notes: DataFrame, keys: list[str], focused: bool = True, phrases: bool = True, broad: bool = False, low: int = 3, high: int = 32, gram_low: int = 2, gram_high: int = 6,
-    most: int = 40, span_limit: int = 12, stop: list[str] | None = None, ignored: list[str] | None = None, case_sensitive: bool = False,
-) -> DataFrame:
-    """All sources of notes (keys, content, spans), outside protected regions, merged and ranked."""
-    parts: list[DataFrame] = []
-    if focused:
-        parts += [heading_terms(notes, keys), inline(notes, keys, "**", "emphasis"), inline(notes, keys, "__", "emphasis"), inline(notes, keys, "==", "highlight")]
-    if phrases:
-        parts.append(prose(notes, keys, low, high))
-    if broad:
-        parts.append(ngrams(notes, keys, gram_low, gram_high, span_limit))
-    raw = None
-    for i, part in enumerate(parts):
-        part = part.withColumn("seq", F.lit(i * 10_000_000_000) + F.col("no"))
-        raw = part if raw is None else raw.unionByName(part)
-    if raw is None:
-        raise ValueError("no source of terms is switched on")
-    raw = raw.join(notes.select(*keys, "spans"), keys).where(~overlaps_any(F.col("spans"), F.col("start"), F.col("end"))).drop("spans")
-    return merge(raw, keys, stop or [], ignored or [], low, high, most, case_sensitive)
+    return K.per_note(notes, keys, ["content"], kernel, "key string, query string, display string, source string, score int, anchors array<struct<start:int,end:int>>, rank int")
 
 
 def distinct_terms(terms: DataFrame, case_sensitive: bool = False) -> DataFrame:

@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import time
+import uuid
+from collections.abc import Callable
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -17,10 +22,14 @@ def reconcile(manifest: DataFrame, scoped: DataFrame, generation: int) -> DataFr
     return both.select("path", F.coalesce("_now", "mtime").alias("mtime"), F.when(changed, F.lit(generation)).otherwise(F.col("last_changed")).cast("bigint").alias("last_changed"))
 
 
-def stale(scoped: DataFrame, manifest: DataFrame, scanned: int) -> DataFrame:
-    """(path): scoped paths that the manifest lacks, or that changed after the scanned generation."""
+def stale(scoped: DataFrame, manifest: DataFrame, scanned: int, seen: DataFrame | None = None) -> DataFrame:
+    """(path): scoped paths that the manifest lacks, that changed after the scanned generation, or that are not among seen (path)."""
     both = scoped.select("path").join(manifest.select("path", "last_changed"), "path", "left")
-    return both.where(F.col("last_changed").isNull() | (F.col("last_changed") > scanned)).select("path")
+    late = F.col("last_changed").isNull() | (F.col("last_changed") > scanned)
+    if seen is not None:
+        both = both.join(seen.select("path", F.lit(True).alias("_seen")).distinct(), "path", "left")
+        late = late | F.col("_seen").isNull()
+    return both.where(late).select("path")
 
 
 def replace_merge(existing: DataFrame, fresh: DataFrame, rescanned: DataFrame, scope: DataFrame | None = None) -> DataFrame:
@@ -61,64 +70,146 @@ def keep_recent(entries: DataFrame, limit: int, low_water: float = 0.9) -> DataF
     return rows.withColumn("kept", kept)
 
 
+_STATE = "key string, folder string, scanned bigint, at bigint, version int, bytes bigint, pinned boolean, gone boolean"
+
+
 class ResultCache:
-    """Hits of past searches as versioned Parquet tables, one folder for each key and generation.
+    """Hits of past searches as Parquet tables, each of a folder with a name of its own, and a log of entries.
 
-    A new generation is written beside the old one and made current by a small pointer table, so that a
-    failed or repeated write never harms what readers see. Excerpts are not stored.
+    A new state is written beside the old one and made current by a row of the log, so that a failed or repeated write
+    never harms what readers see, and two writers never write one table; of two rows the later one counts.
+    Excerpts are not stored. With limit (bytes), put() evicts the entries longest unused, and does not
+    keep entries larger than that.
     """
 
-    VERSION = 2
+    VERSION = 3
+
+    def __init__(self, spark: SparkSession, root: str, limit: int = 0):
+        self.spark, self.root, self.limit = spark, root.rstrip("/"), limit
+
+    def _exists(self, path: str) -> bool:
+        p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
-    def __init__(self, spark, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
+    def _log(self, rows: list[tuple]) -> None:
+        self.spark.createDataFrame(rows, _STATE).coalesce(1).write.mode("append").parquet(f"{self.root}/log")
 
-    def _state(self) -> DataFrame | None:
-        from pyspark.errors import AnalysisException
+    def entries(self) -> DataFrame:
+        """(key, folder, scanned, at, version, bytes, pinned): the current entries of this version."""
+        if not self._exists(f"{self.root}/log"):
+            return self.spark.createDataFrame([], _STATE).drop("gone")
+        rows = self.spark.read.schema(_STATE).parquet(f"{self.root}/log").where(F.col("version") == self.VERSION)
+        rest = [c for c in rows.columns if c != "key"]
+        last = rows.groupBy("key").agg(F.max(F.struct("at", "folder", *[c for c in rest if c not in ("at", "folder")])).alias("x"))
+        return last.select("key", *(f"x.{c}" for c in rest)).where("not gone").drop("gone")
 
-        try:
-            return self.spark.read.parquet(f"{self.root}/state")
-        except AnalysisException:
-            return None
+    def find(self, keys: list[str]) -> dict[str, tuple[str, int]]:
+        """(folder, scanned generation) of those of keys that are cached."""
+        return {r["key"]: (r["folder"], r["scanned"]) for r in self.entries().where(F.col("key").isin(keys)).collect()}
+
+    def hits(self, folder: str, keys: list[str]) -> DataFrame:
+        return self.spark.read.parquet(f"{self.root}/hits/{folder}").where(F.col("key").isin(keys))
+
+    def seen(self, folder: str) -> DataFrame:
+        """(path): what was scanned for the entries of a folder."""
+        return self.spark.read.parquet(f"{self.root}/seen/{folder}")
 
     def entry(self, key: str) -> tuple[DataFrame, int] | None:
         """(hits, scanned generation) of a key; None if it is not cached or of another version."""
-        state = self._state()
-        row = None if state is None else state.where((F.col("key") == key) & (F.col("version") == self.VERSION)).orderBy(F.desc("seq")).first()
-        if row is None:
-            return None
-        return self.spark.read.parquet(row["path"]).withColumn("excerpt", F.lit("")), row["scanned"]
-
-    def put(self, key: str, hits: DataFrame, scanned: int) -> None:
-        state = self._state()
-        seq = 0 if state is None else (state.agg(F.max("seq")).first()[0] or 0) + 1
-        path = f"{self.root}/hits/{seq:012d}"
-        hits.drop("excerpt").write.mode("overwrite").parquet(path)
-        row = self.spark.createDataFrame([(key, path, scanned, seq, self.VERSION)], "key string, path string, scanned bigint, seq bigint, version int")
-        row.coalesce(1).write.mode("append").parquet(f"{self.root}/state")
-
-
-def refresh(cache: ResultCache, key: str, notes: DataFrame, manifest: DataFrame, generation: int, search, failed: DataFrame | None = None) -> DataFrame:
-    """The hits of a key over notes: those cached, with the stale paths searched again.
-
-    search(notes) -> hits. Paths that failed to be read are not replaced, and hold the generation back, so
-    that they are tried again. Runs search() over the stale notes only.
+        found = self.find([key]).get(key)
+        return None if found is None else (self.hits(found[0], [key]).withColumn("excerpt", F.lit("")), found[1])
+
+    def put(self, keys: list[str], hits: DataFrame, scanned: int, seen: DataFrame) -> DataFrame:
+        """Stores the hits (key, path, ...) of keys, found by scanning the paths in seen; returns them as stored."""
+        folder = uuid.uuid4().hex
+        hits.drop("excerpt").write.parquet(f"{self.root}/hits/{folder}")
+        seen.select("path").distinct().write.parquet(f"{self.root}/seen/{folder}")
+        stored = self.hits(folder, keys)
+        heading = stored if "heading" in stored.columns else stored.withColumn("heading", F.lit(""))
+        sizes = {r["key"]: r["bytes"] for r in entry_bytes(heading.withColumn("heading", F.coalesce("heading", F.lit("")))).collect()}
+        pinned = {r["key"] for r in self.entries().where("pinned").collect()}
+        now = time.time_ns() // 1_000_000
+        self._log([(k, folder, scanned, now, self.VERSION, sizes.get(k, 2 * len(k) + 48), k in pinned, bool(self.limit) and sizes.get(k, 0) > self.limit) for k in keys])
+        if self.limit:
+            self.evict()
+        return stored
+
+    def _again(self, rows: DataFrame, **changes: object) -> None:
+        now = time.time_ns() // 1_000_000
+        names = ["key", "folder", "scanned", "at", "version", "bytes", "pinned", "gone"]
+        self._log([tuple({**r.asDict(), "gone": False, **changes, "at": max(now, r["at"] + 1)}[n] for n in names) for r in rows.collect()])
+
+    def touch(self, keys: list[str]) -> None:
+        """Marks entries as used now."""
+        self._again(self.entries().where(F.col("key").isin(keys)))
+
+    def pin(self, key: str, pinned: bool = True) -> None:
+        self._again(self.entries().where(F.col("key") == key), pinned=pinned)
+
+    def remove(self, keys: list[str]) -> None:
+        self._again(self.entries().where(F.col("key").isin(keys)), gone=True)
+
+    def clear(self) -> None:
+        self._again(self.entries(), gone=True)
+
+    def evict(self) -> None:
+        """Removes the entries longest unused, if all together exceed the limit; pinned ones stay."""
+        fates = keep_recent(self.entries().withColumnRenamed("at", "last_access"), self.limit)
+        self.remove([r["key"] for r in fates.where("not kept").collect()])
+
+    def clean(self) -> int:
+        """Deletes the tables that no entry names; for when nothing else reads or writes the cache. Returns how many."""
+        live = {r["folder"] for r in self.entries().select("folder").distinct().collect()}
+        jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
+        n = 0
+        for part in ("hits", "seen"):
+            p = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{part}")
+            fs = p.getFileSystem(conf)
+            for status in fs.listStatus(p) if fs.exists(p) else ():
+                if status.getPath().getName() not in live:
+                    n += fs.delete(status.getPath(), True)
+        return n
+
+
+def refresh_many(
+    cache: ResultCache, keys: list[str], notes: DataFrame, manifest: DataFrame, generation: int, search: Callable[[DataFrame], DataFrame], failed: DataFrame | None = None
+) -> DataFrame:
+    """The hits (key, path, ...) of keys over notes: those cached, with the stale paths of each key searched again.
+
+    search(notes) -> hits of notes with a column wanted, the keys to search each for. A path that is stale for several
+    keys is read once. A path is stale for a key if it changed, is new to the manifest, or was not scanned for that key
+    (it has come into scope since). Paths that failed to be read are not replaced, and hold the generation back, so
+    that they are tried again.
     """
-    found = cache.entry(key)
-    if found is None:
-        hits, scanned, existing = search(notes), -1, None
-        todo = notes.select("path")
-    else:
-        existing, scanned = found
-        todo = stale(notes, manifest, scanned)
-        hits = search(notes.join(todo, "path", "left_semi"))
+    cached = cache.find(keys)
+    groups: dict[tuple[str, int] | None, list[str]] = {}
+    for key in keys:
+        groups.setdefault(cached.get(key), []).append(key)
+    plans, kept, previous = [], [], generation
+    for found, own in groups.items():
+        if found is None:
+            todo, previous = notes.select("path"), -1
+        else:
+            folder, scanned = found
+            todo = stale(notes, manifest, scanned, cache.seen(folder))
+            previous = min(previous, scanned)
+            again = todo if failed is None else todo.join(failed.select("path"), "path", "left_anti")
+            kept.append(cache.hits(folder, own).join(again, "path", "left_anti").join(notes.select("path"), "path", "left_semi"))
+        plans.append(todo.distinct().select("path", F.array(*map(F.lit, own)).alias("_keys")))
+    wanted = reduce(DataFrame.unionByName, plans).groupBy("path").agg(F.flatten(F.collect_list("_keys")).alias("wanted"))
+    fresh = search(notes.join(wanted, "path"))
+    seen = notes.select("path")
     if failed is not None:
-        todo = todo.join(failed.select("path"), "path", "left_anti")
-        hits = hits.join(failed.select("path"), "path", "left_anti")
-        generation = safe_generation(failed, manifest, generation, scanned).first()["generation"]
-    merged = hits if existing is None else replace_merge(existing, hits, todo, notes)
-    cache.put(key, merged, generation)
-    return cache.entry(key)[0]
+        fresh = fresh.join(failed.select("path"), "path", "left_anti")
+        seen = seen.join(failed.select("path"), "path", "left_anti")
+        generation = safe_generation(failed, manifest, generation, previous).first()["generation"]
+    merged = reduce(lambda a, b: a.unionByName(b), [fresh.drop("excerpt"), *kept])
+    return cache.put(keys, merged, generation, seen)
+
+
+def refresh(cache: ResultCache, key: str, notes: DataFrame, manifest: DataFrame, generation: int, search: Callable[[DataFrame], DataFrame], failed: DataFrame | None = None) -> DataFrame:
+    """refresh_many() of one key, for a search(notes) whose hits have no key."""
+    return refresh_many(cache, [key], notes, manifest, generation, lambda rows: search(rows).withColumn("key", F.lit(key)), failed)
 
 
 def plan_flags(plans: DataFrame) -> DataFrame:

@@ -1,20 +1,18 @@
-"""Markdown structure: headings natively; protected regions by a scanner in one Arrow function."""
+"""Markdown structure: protected regions by a scanner, and headings outside them."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
 import regex
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.intervals import overlaps_any, running
-from ..functions.text import trim
+from ..functions import kernels as K
+from ..functions.intervals import overlaps_any
 
-#: Bounds on the destination of a link, and the white space the rules mean.
+#: Bounds on the destination of a link.
 DEEPEST, LONGEST = 32, 4096
-SPACE = "\t\n\x0b\x0c\r \xa0                　﻿"
 _LINE = regex.compile(r"[^\n]*(?:\n|(?<=[^\n])\Z)")
 _FENCE = regex.compile(r" {0,3}(?:(`{3,})[^`]*|(~{3,}).*)", regex.S)
 _DOLLARS = regex.compile(r"[ \t]*\$\$[ \t]*")
@@ -22,6 +20,8 @@ _SLASHES = regex.compile(r"\\+")
 _MARK = regex.compile(r"<!--|!(?=\[)|\[|`+|\$|\#")
 _PAIR = regex.compile(r"<!--|-->|[\[\]]|`+")
 _TAG = regex.compile(r"[\p{L}\p{N}_\-/]+")
+#: Without one of these no region is protected.
+_ANY = regex.compile(r"\A---\r?\n|[`~$#\[]|<!--")
 _DESTINATION = regex.compile(r"[\n\r<>\"'()]")
 
 
@@ -156,7 +156,7 @@ class Inline:
         double = text.startswith("$$", i)
         n = 2 if double else 1
         first = text[i + n : i + n + 1]
-        if not first or (not double and (first in SPACE or first in "0123456789")):
+        if not first or (not double and (first in K.BLANKS or first in "0123456789")):
             return None
         at = i + n
         while (at := text.find("$", at)) >= 0:
@@ -164,7 +164,7 @@ class Inline:
                 return None
             if at not in self.escaped and (text[at + 1 : at + 2] == "$") == double:
                 after = text[at + 1 : at + 2]
-                if double or (text[at - 1] not in SPACE and not (after and after in "0123456789")):
+                if double or (text[at - 1] not in K.BLANKS and not (after and after in "0123456789")):
                     return at + n
             at += 1
         return None
@@ -176,7 +176,7 @@ class Inline:
             return None
         line = text[text.rfind("\n", 0, i) + 1 : i]
         mark = regex.match(r"#+(.?)", text[i : i + 4096], regex.S)
-        if len(line) <= 3 and not line.strip(" ") and (not mark[1] or mark[1] in SPACE):
+        if len(line) <= 3 and not line.strip(" ") and (not mark[1] or mark[1] in K.BLANKS):
             return None
         m = _TAG.match(text, i + 1)
         return m.end() if m else None
@@ -184,6 +184,8 @@ class Inline:
 
 def protected_spans(text: str) -> list[tuple[int, int]]:
     """Front matter, fences, math, code, comments, links and tags: sorted, disjoint, touching ones merged."""
+    if not _ANY.search(text):
+        return []
     blocks = block_spans(text)
     found = list(blocks)
     at = 0
@@ -200,60 +202,27 @@ def protected_spans(text: str) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-_SPANS = "array<struct<start:int,end:int>>"
-#: Without one of these no region is protected, so that most bodies never reach Python.
-_ANY = r"^---\r?\n|[`~$#\[]|<!--"
-
-
-def _scan(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: [{"start": a, "end": b} for a, b in protected_spans(t or "")])
-
-
 def with_spans(notes: DataFrame, content: str = "content", name: str = "spans") -> DataFrame:
-    """notes with their protected spans. Texts without a single delimiter stay in the JVM."""
-    scan = F.pandas_udf(_scan, _SPANS)
-    some = notes.where(F.coalesce(F.col(content).rlike(_ANY), F.lit(False)))
-    none = notes.where(~F.coalesce(F.col(content).rlike(_ANY), F.lit(False)))
-    return some.withColumn(name, scan(content)).unionByName(none.withColumn(name, F.array().cast(_SPANS)))
+    """notes, all columns, with the protected spans of each text; null texts have none."""
 
+    def kernel(text: str | None) -> Iterator[tuple[list[dict]]]:
+        yield ([{"start": a, "end": b} for a, b in protected_spans(text or "")],)
 
-#: Notes of more lines than this have their offsets summed by a window, the others within their row.
-MANY_LINES = 4096
+    rest = [c for c in notes.columns if c != name]
+    return K.per_note(notes, rest, [F.col(content).alias("_text")], kernel, f"{name} array<struct<start:int,end:int>>")
 
 
-def lines_of(notes: DataFrame, keys: list[str], content: str = "content") -> DataFrame:
-    """(keys, no, line, under, start): the lines of each text, the line below, and offsets; CR is kept apart from lines.
+def headings(notes: DataFrame, keys: list[str], content: str = "content") -> DataFrame:
+    """(keys, level, text, start): ATX headings, and lines underlined by = or -, with at most three spaces before them.
 
-    Offsets are running sums of an array in the row, so that nothing is shuffled; only the few notes of very many
-    lines, for which that would take quadratic time, go through a window.
+    What touches a protected region (code, links, math, front matter, tags), with its own line or its underline, is no heading.
     """
-    clean = lambda x: F.regexp_replace(x, "\r$", "")
-    rows = notes.select(*keys, F.split(F.col(content), "\n").alias("_lines"))
-    few = rows.where(F.size("_lines") <= MANY_LINES).withColumn("_starts", running(F.transform("_lines", lambda x: F.length(x) + 1)))
-    each = few.select(*keys, "_lines", F.posexplode(F.arrays_zip(F.col("_lines").alias("raw"), F.col("_starts").alias("start"))).alias("no", "_x"))
-    short = each.select(*keys, "no", clean(F.col("_x.raw")).alias("line"), clean(F.get("_lines", F.col("no") + 1)).alias("under"), F.col("_x.start").alias("start"))
-    w = Window.partitionBy(*keys).orderBy("no")
-    many = rows.where(F.size("_lines") > MANY_LINES).select(*keys, F.posexplode("_lines").alias("no", "raw"))
-    many = many.withColumn("start", F.coalesce(F.sum(F.length("raw") + 1).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("int"))
-    long_ = many.select(*keys, "no", clean(F.col("raw")).alias("line"), clean(F.lead("raw").over(w)).alias("under"), "start")
-    return short.unionByName(long_)
-
 
-_ATX = r"^ {0,3}(#{1,6})[ \t 　]+(.+?)[ \t 　]*#*[ \t 　]*$"
+    def kernel(text: str | None) -> Iterator[tuple[int, str, int]]:
+        if text:
+            yield from K.headings(text, protected_spans(text))
 
-
-def headings(notes: DataFrame, keys: list[str], content: str = "content") -> DataFrame:
-    """(keys, level, text, start): ATX headings, and lines underlined by = or - with at most three spaces before them."""
-    rows = lines_of(notes, keys, content)
-    atx = F.regexp_extract("line", _ATX, 2)
-    setext = (atx == "") & (F.length(trim(F.col("line"))) > 0) & ~F.col("line").rlike("^(?: {4}|\t)") & ~F.col("line").rlike(r"^ {0,3}(?:=+|-+)[ \t]*$")
-    level = (
-        F.when(atx != "", F.length(F.regexp_extract("line", _ATX, 1)))
-        .when(setext & F.col("under").rlike(r"^ {0,3}=+[ \t]*$"), 1)
-        .when(setext & F.col("under").rlike(r"^ {0,3}-+[ \t]*$"), 2)
-    )
-    out = rows.withColumn("level", level).where("level is not null")
-    return out.select(*keys, "level", F.when(atx != "", trim(atx)).otherwise(trim(F.col("line"))).alias("text"), "start")
+    return K.per_note(notes, keys, [content], kernel, "level int, text string, start int")
 
 
 def unprotected(rows: DataFrame, start: str = "start", end: str = "end", spans: str = "spans") -> DataFrame:

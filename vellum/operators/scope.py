@@ -66,12 +66,13 @@ def skip_counts(notes: DataFrame, max_files: int) -> DataFrame:
     return notes.agg(F.count_if(~F.col("fits")).alias("skipped_by_size"), F.greatest(fit - max_files, F.lit(0)).alias("skipped_by_limit"), F.least(fit, F.lit(max_files)).alias("kept"))
 
 
-def fingerprint(mode: str, include: list[str], exclude: list[str], recent_days: int, max_files: int, max_bytes: int, extra: dict[str, int] | None = None) -> Column:
-    """A canonical JSON text of the settings that decide a result; folder order doesn't matter."""
+def fingerprint(mode: str, include: list[str], exclude: list[str], recent_days: int, max_files: int, max_bytes: int, extra: dict[str, int] | None = None, workset: list[str] | None = None) -> Column:
+    """A canonical JSON text of the settings that decide a result, with the working set if that does; the order of folders and paths doesn't matter."""
     return F.to_json(
         F.struct(
             F.sort_array(F.array(*map(F.lit, exclude)).cast("array<string>")).alias("exclude"), F.sort_array(F.array(*map(F.lit, include)).cast("array<string>")).alias("include"),
             F.lit(max_bytes).alias("max_bytes"), F.lit(max_files).alias("max_files"), F.lit(mode).alias("mode"), F.lit(recent_days).alias("recent_days"),
             *(F.lit(v).alias(k) for k, v in sorted((extra or {}).items())),
+            *([F.sort_array(F.array(*map(F.lit, workset)).cast("array<string>")).alias("workset")] if workset is not None else []),
         )
     )

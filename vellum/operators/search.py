@@ -2,113 +2,94 @@
 
 from __future__ import annotations
 
-import pandas as pd
-import regex
+from collections.abc import Iterator
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import kernels as K
 from ..functions import text as T
-from ..functions.intervals import overlaps_any
-from .markdown import headings, nearest_heading, with_spans
+from .markdown import protected_spans
 
-#: A broadcast table of terms has at most so many rows; more are joined block by block.
-TERMS_AT_ONCE = 2_000
+#: One search holds at most so many terms in the driver and in each worker; more are searched block by block.
+TERMS_AT_ONCE = 20_000
+_FOUND = "key string, start int, end int, heading string, excerpt string"
 
 
 def term_table(terms: DataFrame) -> DataFrame:
-    """terms (key, query, case_sensitive) with the needle and its patterns; keys without text are dropped, repeated keys are one."""
+    """terms (key, query, case_sensitive) with the needle; keys without text are dropped, repeated keys are one."""
     query = T.trim(F.col("query"))
     needle = F.when(F.col("case_sensitive"), query).otherwise(T.fold(query))
-    split_at, at_start = T.occurrence_patterns(F.col("needle"))
     rows = terms.groupBy("key").agg(F.min(F.struct("query", "case_sensitive")).alias("t")).select("key", "t.*")
-    rows = rows.withColumn("needle", needle).where("needle <> ''")
-    return rows.withColumn("split_at", split_at).withColumn("at_start", at_start)
-
-
-def _blocks(terms: DataFrame) -> list[DataFrame]:
-    n = terms.count()
-    if n <= TERMS_AT_ONCE:
-        return [terms]
-    blocks = -(-n // TERMS_AT_ONCE)
-    # Twice the blocks on average half full: a block that outgrows the bound would need a skewed hash of 64 bits.
-    return [terms.where(F.pmod(F.xxhash64("key"), F.lit(2 * blocks)) == b) for b in range(2 * blocks)]
-
-
-def _slow(content: pd.Series, query: pd.Series, sensitive: pd.Series) -> pd.Series:
-    return pd.Series([[{"start": a, "end": b} for a, b in scan(c, q, bool(s))] for c, q, s in zip(content, query, sensitive, strict=True)])
-
-
-def scan(content: str, query: str, case_sensitive: bool) -> list[tuple[int, int]]:
-    """Occurrences in source offsets, exact for letters whose folding is longer than they are; boundaries are those of the source."""
-    query = query.strip()
-    pieces = [c if case_sensitive else c.lower().replace("ς", "σ") for c in content]
-    hay = "".join(pieces)
-    needle = query if case_sensitive else "".join(c.lower().replace("ς", "σ") for c in query)
-    if not needle:
-        return []
-    source = {0: 0}
-    total = 0
-    for i, p in enumerate(pieces, 1):
-        total += len(p)
-        source[total] = i
-    latin = regex.search("[A-Za-z]", needle)
-    bound = T.LATIN if latin else None if regex.search(r"[\p{Hiragana}\p{Katakana}\p{Han}]", needle) else T.WORD
-    out, at = [], -1
-    while (at := hay.find(needle, at + 1)) >= 0:
-        a, b = source.get(at), source.get(at + len(needle))
-        if a is None or b is None:
-            continue
-        if bound and ((a and regex.fullmatch(bound, content[a - 1])) or (b < len(content) and regex.fullmatch(bound, content[b]))):
-            continue
-        out.append((a, b))
-    return out
+    return rows.withColumn("needle", needle).where("needle <> ''")
+
+
+def _blocks(terms: DataFrame) -> Iterator[K.Terms]:
+    """The terms, at most TERMS_AT_ONCE at a time (on average half as many)."""
+    table = term_table(terms).select("key", "needle", "case_sensitive")
+    first = table.limit(TERMS_AT_ONCE + 1).collect()
+    if len(first) <= TERMS_AT_ONCE:
+        yield K.Terms(map(tuple, first))
+        return
+    blocks = 2 * -(-table.count() // TERMS_AT_ONCE)
+    for b in range(blocks):
+        # A block that outgrows the bound would need a skewed hash of 64 bits.
+        yield K.Terms(map(tuple, table.where(F.pmod(F.xxhash64("key"), F.lit(blocks)) == b).collect()))
 
 
 def occurrences(notes: DataFrame, terms: DataFrame, keep: list[str], content: str = "content") -> DataFrame:
-    """(keep, key, start, end): all occurrences of all terms, notes being read once for each block of terms.
+    """(keep, key, start, end): all occurrences of all terms, in one scan of the notes for each block of terms.
 
-    A body is split before each occurrence by a look-ahead, so that overlapping ones count, and the pieces'
-    lengths add up to the offsets. Bodies with letters that fold to another length take an exact Arrow path.
+    Few terms are looked for one by one, more by one automaton; offsets take linear time. Every row of notes is a
+    note: rows with equal keys each give their hits. Null and empty texts give none.
     """
-    table = term_table(terms)
-    body = F.col(content)
-    odd = F.coalesce(body.rlike(T.ODD_FOLD), F.lit(False))
-    folded = T.fold(body)
     out = None
-    for block in _blocks(table):
-        small = F.broadcast(block)
-        plain = notes.where(~odd).select(*keep, body.alias("_body"), folded.alias("_folded"))
-        hay = F.when(F.col("case_sensitive"), F.col("_body")).otherwise(F.col("_folded"))
-        met = plain.join(small, F.contains(hay, F.col("needle"))).select(*keep, "key", "needle", "at_start", hay.alias("_hay"), F.split(hay, F.col("split_at"), -1).alias("_parts"))
-        spots = F.aggregate(
-            F.slice("_parts", 1, F.size("_parts") - 1), F.array(F.lit(0)), lambda a, x: F.array_append(a, F.element_at(a, -1) + F.length(x))
-        )
-        each = met.withColumn("_first", F.regexp_like("_hay", F.col("at_start"))).select(*keep, "key", "needle", "_first", F.posexplode(spots).alias("_no", "start"))
-        native = each.where("_no > 0 or _first").select(*keep, "key", "start", (F.col("start") + F.length("needle")).alias("end"))
-        slow = F.pandas_udf(_slow, "array<struct<start:int,end:int>>")
-        exact = notes.where(odd).select(*keep, body.alias("_body")).crossJoin(small)  # a bounded set of terms against rows
-        exact = exact.select(*keep, "key", F.explode(slow("_body", "query", "case_sensitive")).alias("x")).select(*keep, "key", "x.start", "x.end")
-        both = native.unionByName(exact)
-        out = both if out is None else out.unionByName(both)
-    return out.distinct() if out is not None else out
-
-
-def hits(notes: DataFrame, terms: DataFrame, excerpt_length: int = 160, protect: bool = True) -> DataFrame:
+    for block in _blocks(terms):
+        found = K.per_note(notes, keep, [content], block.occurrences, "key string, start int, end int")
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+def hits(notes: DataFrame, terms: DataFrame, excerpt_length: int = 160, protect: bool = True, per_note: int | None = None, wanted: str | None = None) -> DataFrame:
     """(key, path, start, end, heading, excerpt, mtime): occurrences outside protected regions, with heading and excerpt.
 
-    Spans and headings are computed once for a note, before the terms meet it.
+    One scan of notes (path, mtime, content): spans and headings are found once for each note that has an occurrence,
+    and nothing is shuffled. per_note keeps the first hits of each term and note; wanted names a column
+    with the keys to search the note for (all, if it is null). Rows are never mixed, even if their paths are equal.
     """
-    base = with_spans(notes.select("path", "content", "mtime"))
-    found = occurrences(base, terms, ["path"])
-    heads = headings(base, ["path"]).join(base.select("path", "spans"), "path").where(~overlaps_any(F.col("spans"), F.col("start"), F.col("start") + 1))
-    heads = heads.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("start", "level", "text"))).alias("heads"))
-    rows = found.join(base, "path").join(heads, "path", "left")
-    if protect:
-        rows = rows.where(~overlaps_any(F.col("spans"), F.col("start"), F.col("end")))
-    return rows.select(
-        "key", "path", "start", "end", nearest_heading(F.coalesce("heads", F.array().cast("array<struct<start:int,level:int,text:string>>")), F.col("start")).alias("heading"),
-        T.excerpt(F.col("content"), F.col("start"), F.col("end"), excerpt_length).alias("excerpt"), "mtime",
-    )
+    out = None
+    for block in _blocks(terms):
+
+        def kernel(content: str | None, keys: list[str] | None = None, block: K.Terms = block) -> Iterator[tuple]:
+            found = sorted(block.occurrences(content), key=lambda x: x[1:])
+            if keys is not None:
+                found = [x for x in found if x[0] in keys]
+            if not found:
+                return
+            spans = protected_spans(content)
+            heads = list(K.headings(content, spans))
+            at, head, taken = 0, "", {}
+            for key, start, end in found:
+                if protect and K.covered(spans, start, end):
+                    continue
+                taken[key] = taken.get(key, 0) + 1
+                if per_note is not None and taken[key] > per_note:
+                    continue
+                while at < len(heads) and heads[at][2] <= start:
+                    head, at = heads[at][1], at + 1
+                yield key, start, end, head, K.excerpt(content, start, end, excerpt_length)
+
+        found = K.per_note(notes, ["path", "mtime"], ["content", *([wanted] if wanted else [])], kernel, _FOUND)
+        out = found if out is None else out.unionByName(found)
+    return out.select("key", "path", "start", "end", "heading", "excerpt", "mtime")
+
+
+def with_excerpts(found: DataFrame, notes: DataFrame, excerpt_length: int = 160) -> DataFrame:
+    """Hits with their excerpts rebuilt from notes (path, content); '' where a note is gone or too short. Of repeated paths, one row counts."""
+    bodies = notes.groupBy("path").agg(F.min("content").alias("_body"))
+    here = F.col("_body").isNotNull() & (F.col("start") >= 0) & (F.col("end") <= F.length("_body"))
+    text = F.when(here, T.excerpt(F.col("_body"), F.col("start"), F.col("end"), excerpt_length)).otherwise("")
+    return found.drop("excerpt").join(bodies, "path", "left").withColumn("excerpt", text).select("key", "path", "start", "end", "heading", "excerpt", "mtime")
 
 
 def top_hits(found: DataFrame, per_note: int, keys: tuple[str, ...] = ("key", "path")) -> DataFrame:
@@ -118,11 +99,10 @@ def top_hits(found: DataFrame, per_note: int, keys: tuple[str, ...] = ("key", "p
 
 
 def cap_notes(found: DataFrame, notes_per_term: int) -> DataFrame:
-    """All hits of the first notes, by path, of each term: a rank over distinct paths, joined back, moves no hits."""
-    paths = found.select("key", "path").distinct()
+    """All hits of the first notes, by path, of each term: a rank that Spark limits before the shuffle, so that a
+    task sends at most the hits of so many notes of each term."""
     w = Window.partitionBy("key").orderBy("path")
-    first = paths.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= notes_per_term).drop("_n")
-    return found.join(first, ["key", "path"], "left_semi")
+    return found.withColumn("_n", F.dense_rank().over(w)).where(F.col("_n") <= notes_per_term).drop("_n")
 
 
 def candidates(found: DataFrame, titles: DataFrame | None = None) -> DataFrame:

@@ -5,12 +5,15 @@ documents are the notes: the path is source/doc_id.md, the folder the source, th
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import intervals
+from ..functions.kernels import PER_LINE
 from ..functions import text as T
 from ..operators import anchors as A
 from ..operators import extract as X
@@ -21,6 +24,8 @@ from ..operators import search as Q
 from ..operators import sessions
 from ..sources.notes import documents_as_notes
 from ..streaming import changes
+from .config import EngineConfig
+from .engine import Engine
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -31,9 +36,12 @@ TERMS = ("the", "of", "and the")
 #: The notes in DuckDB, and the Markdown text derived from them, as in notes() and markdown().
 NOTES = """notes AS (SELECT source || '/' || doc_id::VARCHAR || '.md' AS path, 1700000000000 + doc_id * 3600000 AS mtime,
   strlen(text)::BIGINT AS size, text AS content, doc_id, source FROM documents)"""
-MD = """md AS (SELECT source || '/' || doc_id::VARCHAR || '.md' AS path, '# ' || source || chr(10) || chr(10) || '**' || substr(text, 1, 12)
-  || '** and ==' || substr(text, 20, 9) || '==' || chr(10) || text || chr(10) || '## Part ' || doc_id::VARCHAR || ' ##' || chr(10)
-  || substr(text, 1, 200) || chr(10) || 'Lower title' || chr(10) || '---' || chr(10) || 'tail' AS content FROM documents)"""
+#: What would start a protected region in a document is blanked, so that only the planted ones are protected.
+MARKS = "`$[]<#~"
+MD = f"""md AS (SELECT source || '/' || doc_id::VARCHAR || '.md' AS path, '# ' || source || chr(10) || chr(10) || '**' || substr(clean, 1, 12)
+  || '** and ==' || substr(clean, 20, 9) || '==' || chr(10) || clean || chr(10) || '```' || chr(10) || '# the fenced' || chr(10) || 'of it' || chr(10) || '===' || chr(10) || '```' || chr(10)
+  || '## Part ' || doc_id::VARCHAR || ' ##' || chr(10) || substr(clean, 1, 200) || chr(10) || '### With `the code` in ' || doc_id::VARCHAR || chr(10) || 'Lower title' || chr(10) || '---' || chr(10) || 'tail' AS content
+  FROM (SELECT *, translate(text, '{MARKS}', '       ') AS clean FROM documents))"""
 FOLDED = "replace(lower(content), 'ς', 'σ')"
 
 
@@ -56,13 +64,15 @@ def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents")
-    nl = F.lit("\n")
-    body = F.concat(
-        F.lit("# "), F.col("source"), nl, nl, F.lit("**"), F.substring("text", 1, 12), F.lit("** and =="), F.substring("text", 20, 9), F.lit("=="), nl, F.col("text"), nl,
-        F.lit("## Part "), F.col("doc_id").cast("string"), F.lit(" ##"), nl, F.substring("text", 1, 200), nl, F.lit("Lower title"), nl, F.lit("---"), nl, F.lit("tail"),
-    )
-    return d.select(F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".md")).alias("path"), body.alias("content"))
+    """Markdown made of the documents: headings of both kinds, emphasis, a fence and inline code around what looks like a heading or a term."""
+    d = table(spark, sf_dir, "documents").withColumn("clean", F.translate("text", MARKS, " " * len(MARKS)))
+    number = F.col("doc_id").cast("string")
+    parts = [
+        "# ", F.col("source"), "\n\n**", F.substring("clean", 1, 12), "** and ==", F.substring("clean", 20, 9), "==\n", F.col("clean"), "\n```\n# the fenced\nof it\n===\n```\n## Part ", number, " ##\n",
+        F.substring("clean", 1, 200), "\n### With `the code` in ", number, "\nLower title\n---\ntail",
+    ]
+    body = F.concat(*(F.lit(x) if isinstance(x, str) else x for x in parts))
+    return d.select(F.concat("source", F.lit("/"), number, F.lit(".md")).alias("path"), body.alias("content"))
 
 
 def terms(spark: SparkSession, words: tuple[str, ...] = TERMS, case_sensitive: bool = False) -> DataFrame:
@@ -70,13 +80,13 @@ def terms(spark: SparkSession, words: tuple[str, ...] = TERMS, case_sensitive: b
     return spark.range(1).select(rows).select(T.term_key(F.col("query"), case_sensitive).alias("key"), "query", F.lit(case_sensitive).alias("case_sensitive"))
 
 
-def _hits_sql(words: tuple[str, ...], folded: bool = True, name: str = "hits") -> str:
+def _hits_sql(words: tuple[str, ...], folded: bool = True, name: str = "hits", source: str = "notes") -> str:
     """Occurrences with ASCII boundaries, by prefix sums over the pieces between needles (none overlaps itself)."""
     hay = FOLDED if folded else "content"
     listed = ", ".join(f"'{w}'" for w in words)
     return f"""
 terms AS (SELECT unnest([{listed}]) AS key),
-pieces AS (SELECT path, key, hay, string_split(hay, key) AS p FROM (SELECT path, {hay} AS hay FROM notes), terms WHERE contains(hay, key)),
+pieces AS (SELECT path, key, hay, string_split(hay, key) AS p FROM (SELECT path, {hay} AS hay FROM {source}), terms WHERE contains(hay, key)),
 spots AS (SELECT path, key, hay, list_sum(list_transform(p[1:i], lambda x: length(x)))::BIGINT + (i - 1) * length(key) AS start
   FROM (SELECT path, key, hay, p, unnest(range(1, len(p))) AS i FROM pieces)),
 {name} AS (SELECT path, key, start::INTEGER AS start, (start + length(key))::INTEGER AS "end" FROM spots
@@ -148,11 +158,7 @@ def excerpt(spark, sf_dir):
     return first.join(base, "path").select("path", "start", T.excerpt(F.col("content"), F.col("start"), F.col("end"), 160).alias("excerpt"))
 
 
-@query()
-def full_search(spark, sf_dir):
-    """Hits with protected regions left out, headings and excerpts, over derived Markdown."""
-    md = markdown(spark, sf_dir).withColumn("mtime", F.lit(0).cast("bigint"))
-    return Q.hits(md, terms(spark, ("tail", "lower title")))
+# full_search() stands below, with the headings
 
 
 # ---- scope
@@ -277,10 +283,12 @@ _LINES = f"""WITH {MD}, ln AS (SELECT path, i, l[i] AS line, l[i + 1] AS under,
   FROM (SELECT path, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT path, string_split(content, chr(10)) AS l FROM md)))"""
 _HEADS = (
     _LINES
-    + r""", heads AS (SELECT path, length(regexp_extract(line, '^ {0,3}(#{1,6})[ \t]+', 1))::INTEGER AS level, trim(regexp_extract(line, '^ {0,3}#{1,6}[ \t]+(.+?)[ \t]*#*[ \t]*$', 1)) AS text, start
-  FROM ln WHERE regexp_matches(line, '^ {0,3}#{1,6}[ \t]+(.+?)[ \t]*#*[ \t]*$')
-  UNION ALL SELECT path, CASE WHEN contains(under, '=') THEN 1 ELSE 2 END, trim(line), start FROM ln WHERE regexp_matches(under, '^ {0,3}(-+|=+)[ \t]*$') AND trim(line) <> ''
-    AND NOT regexp_matches(line, '^ {0,3}#{1,6}[ \t]+') AND NOT regexp_matches(line, '^(    |\t)') AND NOT regexp_matches(line, '^ {0,3}(=+|-+)[ \t]*$'))"""
+    + r""", marked AS (SELECT *, sum(CASE WHEN line = '```' THEN 1 ELSE 0 END) OVER (PARTITION BY path ORDER BY i) % 2 = 1 OR contains(line, '`') AS hidden FROM ln),
+both_ AS (SELECT *, lead(hidden) OVER (PARTITION BY path ORDER BY i) AS hidden_under FROM marked),
+heads AS (SELECT path, length(regexp_extract(line, '^ {0,3}(#{1,6})[ \t]+', 1))::INTEGER AS level, trim(regexp_extract(line, '^ {0,3}#{1,6}[ \t]+(.+?)[ \t]*#*[ \t]*$', 1)) AS text, start
+  FROM both_ WHERE regexp_matches(line, '^ {0,3}#{1,6}[ \t]+(.+?)[ \t]*#*[ \t]*$') AND NOT hidden
+  UNION ALL SELECT path, CASE WHEN contains(under, '=') THEN 1 ELSE 2 END, trim(line), start FROM both_ WHERE regexp_matches(under, '^ {0,3}(-+|=+)[ \t]*$')
+    AND regexp_matches(line, '^ {0,3}\S') AND NOT regexp_matches(line, '^ {0,3}#{1,6}[ \t]+(.+?)[ \t]*#*[ \t]*$') AND NOT hidden AND NOT hidden_under)"""
 )
 
 
@@ -291,15 +299,34 @@ def headings(spark, sf_dir):
 
 @query(
     _HEADS
-    + """ SELECT path, o AS at, coalesce(arg_max(text, start) FILTER (start <= o), '') AS heading
-  FROM heads, (SELECT unnest([0, 10, 150, 300]) AS o) GROUP BY path, o"""
+    + """, o AS (SELECT path, unnest([0, 10, 150, 300, length(content) // 2, length(content) - 1])::INTEGER AS "at" FROM md)
+SELECT path, "at", coalesce(arg_max(text, start) FILTER (start <= "at"), '') AS heading FROM heads JOIN o USING (path) GROUP BY path, "at" """
 )
 def heading_asof(spark, sf_dir):
-    heads = M.headings(markdown(spark, sf_dir), ["path"]).groupBy("path").agg(F.array_sort(F.collect_list(F.struct("start", "text"))).alias("heads"))
-    points = heads.withColumn("at", F.explode(F.array(*map(F.lit, (0, 10, 150, 300)))))
+    md = markdown(spark, sf_dir)
+    heads = M.headings(md, ["path"]).groupBy("path").agg(F.array_sort(F.collect_list(F.struct("start", "text"))).alias("heads"))
+    n = F.length("content")
+    at = F.array_distinct(F.array(*(F.lit(x) for x in (0, 10, 150, 300)), F.floor(n / 2).cast("int"), n - 1))
+    points = md.select("path", F.explode(at).alias("at")).join(heads, "path")
     return points.select("path", "at", M.nearest_heading(F.col("heads"), F.col("at")).alias("heading"))
 
 
+@query(
+    _HEADS
+    + f""", {_hits_sql(TERMS, source="md")},
+h AS (SELECT h.*, max(l.start) AS line_start FROM hits h JOIN both_ l ON l.path = h.path AND l.start <= h.start GROUP BY ALL),
+v AS (SELECT h.* FROM h JOIN both_ l ON l.path = h.path AND l.start = h.line_start WHERE NOT l.hidden),
+x AS (SELECT v.*, content, greatest(0, start - (160 - length(key)) // 2) AS lo, least(length(content), "end" + (160 - length(key)) // 2) AS hi FROM v JOIN md USING (path)),
+t AS (SELECT v.path, v.key, v.start, arg_max(heads.text, heads.start) AS heading FROM v JOIN heads ON heads.path = v.path AND heads.start <= v.start GROUP BY ALL)
+SELECT x.path, x.key, x.start, x."end", coalesce(t.heading, '') AS heading, CASE WHEN lo > 0 THEN '…' ELSE '' END || trim(regexp_replace(substr(content, lo + 1, hi - lo), '[ \\t\\n\\r]+', ' ', 'g')) ||
+  CASE WHEN hi < length(content) THEN '…' ELSE '' END AS excerpt FROM x LEFT JOIN t ON t.path = x.path AND t.key = x.key AND t.start = x.start"""
+)
+def full_search(spark, sf_dir):
+    """Hits with protected regions left out, headings and excerpts, over Markdown made of the documents."""
+    md = markdown(spark, sf_dir).withColumn("mtime", F.lit(0).cast("bigint"))
+    return Q.hits(md, terms(spark)).drop("mtime")
+
+
 @query(f"WITH {MD} SELECT path, unnest(regexp_extract_all(content, '\\*\\*(.+?)\\*\\*', 1)) AS found FROM md")
 def bold_extract(spark, sf_dir):
     return X.matches(markdown(spark, sf_dir), ["path"], "content", r"\*\*(.+?)\*\*", 1).select("path", "found")
@@ -310,7 +337,10 @@ def highlight_extract(spark, sf_dir):
     return X.matches(markdown(spark, sf_dir), ["path"], "content", r"==(.+?)==", 1).select("path", "found")
 
 
-@query()
+@query(
+    f"""WITH {MD} SELECT path, (instr(content, '```') - 1)::INTEGER AS start, (instr(content, '```' || chr(10) || '## Part ') + 3)::INTEGER AS "end" FROM md
+UNION ALL SELECT path, (instr(content, '`the code`') - 1)::INTEGER, (instr(content, '`the code`') + 9)::INTEGER FROM md"""
+)
 def protected_spans(spark, sf_dir):
     return M.with_spans(markdown(spark, sf_dir)).select("path", F.explode("spans").alias("s")).select("path", "s.start", "s.end")
 
@@ -333,7 +363,7 @@ ph AS (SELECT path, line_no, n, i, list_aggregate(list_transform(range(1, n + 1)
 )
 def word_phrases_top16(spark, sf_dir):
     out = X.prose(notes(spark, sf_dir).select("path", "content"), ["path"])
-    return out.select("path", F.floor(F.col("no") / X.PER_LINE).cast("int").alias("line_no"), "query")
+    return out.select("path", F.floor(F.col("no") / PER_LINE).cast("int").alias("line_no"), "query")
 
 
 @query(
@@ -358,14 +388,13 @@ m AS (SELECT path, key, arg_min(query, seq) AS query, max(score)::INTEGER AS sco
 SELECT path, key, query, score, rank::INTEGER AS rank FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY score DESC, length(query) DESC, seq) AS rank FROM m) WHERE rank <= 40"""
 )
 def candidate_merge_rank(spark, sf_dir):
-    raw = X.prose(notes(spark, sf_dir).select("path", "content"), ["path"]).withColumn("seq", F.col("no").cast("bigint"))
-    return X.merge(raw, ["path"], list(_STOP), []).select("path", "key", "query", "score", "rank")
+    return X.extract(notes(spark, sf_dir), ["path"], focused=False, stop=list(_STOP), protect=False).select("path", "key", "query", "score", "rank")
 
 
 @query()
 def extract_all_sources(spark, sf_dir):
     """All sources of derived Markdown, outside protected regions."""
-    out = X.extract(M.with_spans(markdown(spark, sf_dir)), ["path"], broad=True, stop=list(_STOP))
+    out = X.extract(markdown(spark, sf_dir), ["path"], broad=True, stop=list(_STOP))
     return out.select("path", "key", "query", "display", "source", "score", F.size("anchors").alias("n_anchors"), "rank")
 
 
@@ -608,12 +637,12 @@ def cache_size(spark, sf_dir):
 
 @query(
     HITS
-    + """ SELECT (SELECT count(*) FROM hits WHERE start < 100) AS n_anchors, (SELECT count(DISTINCT key) FROM hits WHERE start < 100) AS n_groups,
+    + """ SELECT (SELECT count(*) FROM hits) AS n_anchors, (SELECT count(DISTINCT key) FROM hits) AS n_groups,
   count(DISTINCT key) AS n_groups_found, count(DISTINCT path) AS n_notes FROM hits"""
 )
 def session_stats(spark, sf_dir):
     found = _hits(spark, sf_dir)
-    return sessions.stats(found, found.where("start < 100").select(F.col("key").alias("group_key")))
+    return sessions.stats(found, found.select(F.col("key").alias("group_key")))
 
 
 @query(HITS + ", p AS (SELECT DISTINCT key, path FROM hits) SELECT path, string_agg(key, '|' ORDER BY key) AS keys FROM p GROUP BY path")
@@ -628,3 +657,28 @@ SELECT event_id FROM g WHERE nx IS NULL OR nx - ms > 3600000"""
 def debounced_events(spark, sf_dir):
     e = table(spark, sf_dir, "events").select("event_id", "user_id", F.unix_millis(F.col("ts").cast("timestamp")).alias("ts_ms"))
     return changes.debounced(e, 3_600_000, ["user_id"]).select("event_id")
+
+
+# ---- incremental search: results brought up to date equal those of a fresh search
+
+_NEWEST = f"""newest AS (SELECT * REPLACE (translate(content, '{MARKS}', '       ') AS content) FROM notes WHERE size <= 512000 AND source <> 'src3' ORDER BY mtime DESC, path LIMIT 600)"""
+
+
+@query(
+    f"""WITH {NOTES}, {_NEWEST}, {_hits_sql(TERMS, source="newest")},
+n AS (SELECT *, row_number() OVER (PARTITION BY key, path ORDER BY start) AS n FROM hits), r AS (SELECT *, dense_rank() OVER (PARTITION BY key ORDER BY path) AS d FROM n WHERE n <= 8)
+SELECT r.key, r.path, r.start, r."end" FROM r WHERE d <= 80"""
+)
+def refresh_equals_search(spark, sf_dir):
+    """Several terms, searched in an older state of the notes and of the scope, then brought up to date."""
+    now = notes(spark, sf_dir).withColumn("content", F.translate("content", MARKS, " " * len(MARKS)))
+    number = F.regexp_extract("path", r"/(\d+)\.md$", 1).cast("bigint")
+    old = now.where(number % 5 != 0).withColumn("mtime", F.when(number % 3 == 0, F.col("mtime") - 1).otherwise(F.col("mtime")))
+    old = old.withColumn("content", F.when(number % 3 == 0, F.concat(F.lit("the old state\n"), "content")).otherwise(F.col("content")))
+    folder = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='vellum-')}"
+    cache = I.ResultCache(spark, f"{folder}/results-{uuid.uuid4().hex}")
+    seen = lambda rows, generation: rows.select("path", "mtime", F.lit(generation).cast("bigint").alias("last_changed"))
+    config = EngineConfig(max_files=600, exclude_folders=("src3",))
+    Engine(spark, old, config).refresh_many(list(TERMS), cache, seen(old, 1), 1)
+    manifest = I.reconcile(seen(old, 1), now, 2)
+    return Engine(spark, now, config).refresh_many(list(TERMS), cache, manifest, 2).select("key", "path", "start", "end")

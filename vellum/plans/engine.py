@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,20 +39,19 @@ class Engine:
         return self.notes.join(S.newest(meta, c.max_files).select("path"), "path", "left_semi")
 
     def terms(self, queries: list[str]) -> DataFrame:
-        """A table of usable terms; what fails validation is an error."""
-        for q in queries:
-            row = self.spark.range(1).select(T.query_error(F.lit(q)).alias("e")).first()
-            if row["e"]:
-                raise ValueError(row["e"])
+        """A table of usable terms; what fails validation is an error. One job, whatever their number."""
         rows = self.spark.createDataFrame([(q,) for q in queries], "query string")
-        return rows.select(T.term_key(F.col("query"), self.config.case_sensitive).alias("key"), "query", F.lit(self.config.case_sensitive).alias("case_sensitive"))
+        told = rows.select("query", T.term_key(F.col("query"), self.config.case_sensitive).alias("key"), T.query_error(F.col("query")).alias("error")).collect()
+        for r in told:
+            if r["error"]:
+                raise ValueError(r["error"])
+        return self.spark.createDataFrame([(r["key"], r["query"], self.config.case_sensitive) for r in told], "key string, query string, case_sensitive boolean")
 
     def search_many(self, queries: list[str] | DataFrame, self_path: str | None = None) -> DataFrame:
         """Hits of all terms: first hits of each note, then first notes of each term."""
         c = self.config
         terms = queries if isinstance(queries, DataFrame) else self.terms(queries)
-        found = Q.hits(self.scope(self_path), terms, c.excerpt_length)
-        return Q.cap_notes(Q.top_hits(found, c.max_hits_per_note), c.max_candidate_notes)
+        return Q.cap_notes(Q.hits(self.scope(self_path), terms, c.excerpt_length, per_note=c.max_hits_per_note), c.max_candidate_notes)
 
     def search(self, query: str, self_path: str | None = None) -> DataFrame:
         return self.search_many([query], self_path)
@@ -65,7 +67,7 @@ class Engine:
     def extract(self, path: str) -> DataFrame:
         """The ranked term candidates of a note."""
         c = self.config
-        own = M.with_spans(self.notes.where(F.col("path") == path))
+        own = self.notes.where(F.col("path") == path)
         return X.extract(
             own, ["path"], c.focused_extraction, c.normal_prose_phrases, c.broad_ngram, c.auto_min_term_length, c.auto_max_term_length, c.ngram_min_length, c.ngram_max_length,
             c.max_auto_queries, c.ngram_span_limit, list(c.auto_stop_words), list(c.ignored_terms), c.case_sensitive,
@@ -84,22 +86,50 @@ class Engine:
         kept = kept.select(T.identity(F.col("start"), F.col("end"), F.col("group_key")).alias("id"), "start", "end", F.col("query").alias("text"), "group_key")
         return sessions.build(found.select("key", "query", "display", F.lit(True).alias("can_link"), "candidates"), kept, path, "auto")
 
-    def refresh(self, query: str, cache: I.ResultCache, manifest: DataFrame, generation: int) -> DataFrame:
-        """As search(), from the cache, reading only notes that changed; what is cached is not capped."""
+    def cache_mark(self) -> str:
+        """What of the settings decides a result, with the paths of the working set where that does (at most workset_size)."""
         c = self.config
-        terms = self.terms([query])
-        print_ = S.fingerprint(c.scope_mode, list(c.include_folders), list(c.exclude_folders), c.recent_days, c.max_files, c.max_file_bytes)
-        mark = self.spark.range(1).select(print_.alias("p")).first()["p"]
-        key = f"{terms.first()['key']}\u0000{int(c.case_sensitive)}\u0000{mark}"
-        found = I.refresh(cache, key, self.scope(), manifest, generation, lambda notes: Q.hits(notes, terms, c.excerpt_length))
-        return Q.cap_notes(Q.top_hits(found, c.max_hits_per_note), c.max_candidate_notes)
+        opened = None
+        if "workset" in c.scope_mode:
+            opened = [] if self.opens is None else [r["path"] for r in S.workset(self.opens, c.workset_size).collect()]
+        mark = S.fingerprint(c.scope_mode, list(c.include_folders), list(c.exclude_folders), c.recent_days, c.max_files, c.max_file_bytes, workset=opened)
+        return self.spark.range(1).select(mark.alias("p")).first()["p"]
+
+    def refresh_many(self, queries: list[str], cache: I.ResultCache, manifest: DataFrame, generation: int, failed: DataFrame | None = None) -> DataFrame:
+        """As search_many(), from the cache: only notes that changed or came into scope are read, each once for all terms.
+
+        What is cached is not capped and has no excerpts; those are cut again from the notes.
+        """
+        c = self.config
+        tail = f"\u0000{int(c.case_sensitive)}\u0000{self.cache_mark()}"
+        terms = self.terms(queries).withColumn("key", F.concat("key", F.lit(tail)))
+        keys = [r["key"] for r in terms.select("key").distinct().collect()]
+        notes = self.scope()
+        found = I.refresh_many(cache, keys, notes, manifest, generation, lambda rows: Q.hits(rows, terms, c.excerpt_length, wanted="wanted"), failed)
+        found = Q.cap_notes(Q.top_hits(found, c.max_hits_per_note), c.max_candidate_notes)
+        return Q.with_excerpts(found, notes, c.excerpt_length).withColumn("key", F.substring_index("key", "\u0000", 1))
+
+    def refresh(self, query: str, cache: I.ResultCache, manifest: DataFrame, generation: int, failed: DataFrame | None = None) -> DataFrame:
+        return self.refresh_many([query], cache, manifest, generation, failed)
+
+    @contextmanager
+    def tagged(self, tag: str) -> Iterator[None]:
+        """What runs inside can be stopped by cancel(), from another thread."""
+        self.spark.addTag(tag)
+        try:
+            yield
+        finally:
+            self.spark.removeTag(tag)
+
+    def cancel(self, tag: str) -> list[str]:
+        return self.spark.interruptTag(tag)
 
     def link(self, start: int, end: int, expected: str, source: DataFrame, target: DataFrame, offset: int, seen_mtime: int, wiki: bool = True) -> DataFrame:
         """(content, linked): the source note with a link over an anchor, if the anchor still stands and the target is as seen.
 
         The heading is that of the target's offset now. source and target are single notes.
         """
-        heads = M.headings(target, ["path"]).groupBy("path").agg(F.collect_list(F.struct("start", "text")).alias("heads"))
+        heads = M.headings(target, ["path"]).groupBy("path").agg(F.collect_list(F.struct("start", "text")).alias("heads"))  # outside code
         goal = target.join(heads, "path", "left").select(F.col("path").alias("_to"), F.col("mtime").alias("_seen"), "heads")
         both = source.select("content").crossJoin(goal)  # one row each
         place: tuple[Column, Column] = (F.lit(start), F.lit(end))

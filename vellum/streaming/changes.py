@@ -34,11 +34,23 @@ def apply(manifest: DataFrame, events: DataFrame, generation: int) -> DataFrame:
     )
 
 
+#: A block of sequence numbers, whose changes are counted together.
+COUNTED = 100_000
+
+
 def history(events: DataFrame) -> DataFrame:
-    """events with generation: the running number of changes, repeats of an mtime not counted; within each path, then over time."""
+    """(seq, path, mtime, generation): the upserts that change their path, repeats of an mtime being none, and how many there were up to each.
+
+    Changes are counted for each block of sequence numbers, blocks are summed, and rows are numbered within theirs.
+    """
     by_path = Window.partitionBy("path").orderBy("seq")
     rows = as_upserts(events).withColumn("before", F.lag("mtime").over(by_path))
-    return rows.where(~F.col("mtime").eqNullSafe(F.col("before"))).drop("before")
+    changed = rows.where(~F.col("mtime").eqNullSafe(F.col("before"))).drop("before").withColumn("_block", F.floor(F.col("seq") / COUNTED))
+    blocks = changed.groupBy("_block").agg(F.count("*").alias("_n"))
+    so_far = F.coalesce(F.sum("_n").over(Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row for each COUNTED events
+    within = F.row_number().over(Window.partitionBy("_block").orderBy("seq", "mtime", "path"))
+    out = changed.join(blocks.select("_block", so_far.alias("_before")), "_block")
+    return out.select("seq", "path", "mtime", (F.col("_before") + within).cast("bigint").alias("generation"))
 
 
 def follow(events: DataFrame, root: str, checkpoint: str, interval: str = "400 milliseconds") -> StreamingQuery:
