@@ -162,6 +162,33 @@ def test_components_of_a_long_chain_and_a_star(spark):
     assert {r["node"]: r["root"] for r in got} == {**{i: 0 for i in range(101)}, **{1000 + i: 1000 for i in range(300)}}
 
 
+@pytest.mark.parametrize("chunk", [7, 1 << 19])
+def test_components_in_ascending_order(spark, chunk):
+    edges = [(i, i + 1) for i in range(1000)] + [(5000, 5000 + i) for i in range(1, 3000)] + [(None, 3), (3, None)]
+    got = components(spark.createDataFrame(edges, "a bigint, b bigint").repartition(8), Scratch(spark, "t"), chunk=chunk).collect()
+    assert {r["node"]: r["root"] for r in got} == {**{i: 0 for i in range(1001)}, **{5000 + i: 5000 for i in range(3000)}} and len(got) == 4001
+
+
+def test_pairs_are_compared_exactly():
+    rng = np.random.default_rng(5)
+    sets = [rng.integers(0, 2**63, rng.integers(1, 60)).astype(np.uint64) for _ in range(30)]
+    sets += [np.concatenate([s[: max(1, len(s) * 9 // 10)], rng.integers(0, 2**63, 2).astype(np.uint64)]) for s in sets] + [np.repeat(sets[0], 2)]
+    flat, counts = minhash.distinct_runs(np.concatenate(sets), np.array([len(s) for s in sets]))
+    a, b = np.triu_indices(len(sets), 1)
+    want = [100 * len(set(sets[x]) & set(sets[y])) >= 80 * len(set(sets[x]) | set(sets[y])) for x, y in zip(a.tolist(), b.tolist(), strict=True)]
+    assert sum(want) > 5
+    assert minhash.pairs_agree(flat, counts, a, b, (80, 100)).tolist() == want
+    assert minhash.blocks_agree(flat, counts, a, b, np.zeros(len(a), int), (80, 100)).tolist() == want
+    assert minhash.group_agrees(flat, counts, np.arange(len(sets)), a, b, (80, 100), room=200).tolist() == want
+
+
+def test_signatures_do_not_depend_on_stretches():
+    rng = np.random.default_rng(6)
+    counts = np.array([3, 500, 1, 40, 7])
+    hashes = rng.integers(0, 2**63, counts.sum()).astype(np.uint64)
+    assert (minhash.flat_signatures(hashes, counts, 12) == minhash.flat_signatures(hashes, counts, 12, stretch=64)).all()
+
+
 def test_pruning_bounds():
     least = minhash.fewest_matches(0.85, 1e-9, 125, 25)
     assert list(least) == [25, 50, 75, 100, 125] and sorted(least.values()) == list(least.values())

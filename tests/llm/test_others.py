@@ -204,6 +204,13 @@ def test_chat_trees(spark):
     assert chat.format_trees(nodes.where("false")).count() == 0
 
 
+def test_chat_of_a_repeated_node(spark):
+    rows = [(1, "b", None, "user", "top", 1.0, "x"), (1, "a", None, "user", "zzz", 1.0, "x"), (1, "a", "b", "system", "aaa", 1.0, "x"), (1, "a", "b", "system", "aaa", 1.0, "x")]
+    nodes = spark.createDataFrame(rows, "tree bigint, node string, parent string, role string, text string, score double, formatted string")
+    got = chat.format_trees(nodes).withColumn("said", chat.read_back(F.col("formatted"), F.col("loss_spans"))[0]).collect()
+    assert [[(t["role"], t["text"]) for t in r["said"]] for r in got] == [[("user", "top"), ("system", "aaa")]]
+
+
 def test_chat_of_a_deep_tree(spark):
     rows = [(1, i, i - 1 if i else None, "assistant", f"m{i}", 1.0) for i in range(70)]
     out = chat.format_trees(spark.createDataFrame(rows, "tree bigint, node bigint, parent bigint, role string, text string, score double"))

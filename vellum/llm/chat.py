@@ -78,14 +78,15 @@ def format_trees(nodes: DataFrame, best: int | None = None, learn: str = "assist
 
     Columns: tree, leaf, rank, score, formatted, loss_spans (half-open code point ranges of the escaped texts of
     role learn). Null texts and roles are empty. Extra columns are not read; an empty table gives no rows. A
-    path is one row, so a task holds the longest conversation. See reply_paths() for trees.
+    path is one row, so a task holds the longest conversation. Of rows that repeat a node, that with the smallest parent,
+    score, role and text counts. See reply_paths() for trees.
     """
     scratch = Scratch(nodes.sparkSession, "chat")
     paths = reply_paths(nodes.select("tree", "node", "parent", "score"), scratch, best)
-    said = nodes.where("node is not null").select(
-        _key("tree", "node").alias("key"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")
-    )
-    said = said.dropDuplicates(["key"])
+    # Of rows that repeat a node, the one whose parent counts in reply_paths().
+    up = F.when(F.col("parent").isNotNull(), _key("tree", "parent"))
+    own = F.struct(up.isNull(), up, F.coalesce(F.col("score").cast("double"), F.lit(0.0)), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    said = nodes.where("node is not null").groupBy(_key("tree", "node").alias("key")).agg(F.min(own).alias("x")).select("key", "x.role", "x.text")
     head = F.concat(F.lit(START), F.url_encode("role"), F.lit("\n"))
     rows = paths.join(said, "key").select(
         "tree", "leaf", "rank", "score", "pos", "role", head.alias("head"), escape(F.col("text")).alias("body")
