@@ -52,7 +52,7 @@ STAGES = [
     ("decontamination", decontamination),
     ("mixing", mixing),
 ]
-#: A trained field, MinHash and projected gradients are not SQL; tests hold the pipeline against brute force.
+#: A trained field, MinHash and projected gradients are not SQL; tests hold a planted corpus and the operators.
 ORACLE_SQL = None
 
 
