@@ -235,12 +235,29 @@ def test_mixing_meets_targets(spark):
     assert np.allclose(got, t.sum() * 0.4 * np.array([0.25, 0.25, 0.5]), rtol=1e-4)
     pure = mixing.mix(docs, spark.createDataFrame(labels, "doc_id bigint, domain string"), {"a": 0, "b": 0, "c": 1}, 0.4).collect()
     assert min(x["rate"] for x in pure) == 0.0
+    # Where the steps end before the targets are met, that is said.
+    with pytest.warns(UserWarning, match="targets missed"):
+        hard = mixing.mix(docs, spark.createDataFrame(labels, "doc_id bigint, domain string"), {"a": 0, "b": 0, "c": 1}, 0.4, steps=0)
+    ends = {r["domain"]: (r["target"], r["expected"]) for r in mixing.expected(hard, {"a": 0, "b": 0, "c": 1}, 0.4).collect()}
+    assert np.isclose(ends["c"][0], t.sum() * 0.4) and ends["a"][0] == 0 and ends["a"][1] > 0
     # Without labels all domains are alike, and every rate is what is asked of the corpus.
     flat = mixing.mix(docs, spark.createDataFrame([], "doc_id bigint, domain string"), {"a": 1, "b": 1}, 0.4).collect()
     assert np.allclose([x["rate"] for x in flat], 0.4)
     assert mixing.mix(docs.where("false"), spark.createDataFrame(labels, "doc_id bigint, domain string"), {"a": 1}).count() == 0
 
 
+def test_accelerated_steps(spark):
+    rng = np.random.default_rng(4)
+    p = rng.dirichlet([1, 1, 1], 50)
+    history = [(push, rng.normal(size=3).tolist()) for push in (0.0, 0.3, 0.6, 0.0)]
+    docs = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(p)], "id bigint, p array<double>")
+    got = docs.select("id", mixing.stepped(F.lit(0.5), F.lit(0.4), F.col("p"), history).alias("r")).select("id", "r.*").orderBy("id").collect()
+    now, before = np.full(50, 0.5), np.full(50, 0.4)
+    for push, g in history:
+        now, before = np.maximum(0, now + push * (now - before) - p @ np.array(g)), now
+    assert np.allclose([r["now"] for r in got], now) and np.allclose([r["before"] for r in got], before)
+
+
 def test_tokens_after_edits_equal_a_full_count(spark):
     counter = token_counts.Counter(token_counts.read_ranks(token_counts.DEFAULT))
     rng = random.Random(8)
@@ -263,6 +280,31 @@ def test_tokens_after_edits_equal_a_full_count(spark):
     assert all(r["n_tokens_after"] == len(counter.encode(r["text_after"] or "")) for r in got.values())
 
 
+def test_kept_trees_encode_only_what_edits_touch(spark):
+    counter = token_counts.Counter(token_counts.read_ranks(token_counts.DEFAULT))
+    long = "some words here " * 4000
+    docs = spark.createDataFrame([(1, long), (2, None), (3, ""), (None, "a tail"), (1, long)], "doc_id bigint, text string")
+    none = F.array().cast("array<struct<start:bigint,end:bigint,insert:string>>")
+    kept = token_counts.recount(docs.withColumn("edits", none), "edits")
+    assert all(r["built"] and r["n_tokens"] == r["n_tokens_after"] == len(counter.encode(r["text_after"] or "")) for r in kept.collect())
+    text = long
+    for k in range(3):
+        change = F.array(F.struct(F.lit(30_000 + k).cast("bigint").alias("start"), F.lit(30_004).cast("bigint").alias("end"), F.lit(f"x{k} " * 500).alias("insert")))
+        again = kept.select("doc_id", F.col("text_after").alias("text"), "tree").withColumn("edits", F.when(F.col("doc_id") == 1, change))
+        kept = token_counts.recount(again, "edits", tree_col="tree")
+        text = text[: 30_000 + k] + f"x{k} " * 500 + text[max(30_004, 30_000 + k) :]
+        rows = kept.collect()
+        assert len(rows) == 5 and not any(r["built"] for r in rows)
+        for r in rows:
+            assert r["n_tokens_after"] == len(counter.encode(r["text_after"] or "")) == sum(r["tree"]["tokens"])
+            assert r["doc_id"] != 1 or (r["text_after"] == text and 0 < r["recoded_chars"] < 4000)
+        assert max(len(counter.pattern.findall(text)) / r["n_leaves"] for r in rows if r["doc_id"] == 1) <= 2 * token_counts.LEAF
+    # A tree of another text is not believed.
+    other = kept.select("doc_id", F.concat("text_after", F.lit(" more")).alias("text"), "tree").withColumn("edits", none)
+    assert all(r["built"] == (r["text_after"] is not None) and r["n_tokens"] == len(counter.encode(r["text_after"] or "")) for r in token_counts.recount(other, "edits", tree_col="tree").collect())
+    assert token_counts.recount(again.where("false"), "edits", tree_col="tree").count() == 0
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 

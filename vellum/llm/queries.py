@@ -81,7 +81,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.struct(middle.alias("start"), (middle + 12).alias("end"), F.lit(" an edit\n").alias("insert")),
         F.struct(F.lit(2**31).cast("bigint").alias("start"), F.lit(2**31).cast("bigint").alias("end"), F.lit(" more").alias("insert")),
     )
-    return recount(docs.withColumn("edits", edits), "edits").drop("text_after")
+    return recount(docs.withColumn("edits", edits), "edits").drop("built", "text_after", "tree")
 
 
 QUERIES = {

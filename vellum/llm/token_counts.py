@@ -9,7 +9,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 import regex
 import tiktoken
-from pyspark.sql import DataFrame, SparkSession
+import xxhash
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .minhash import sliced
@@ -21,6 +22,13 @@ DEFAULT = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 LEAF = 64
 #: Characters beyond its end that the pattern may look at to end a match.
 LOOK = 2
+#: A kept tree, and the columns of recount().
+TREE = "struct<chars:array<int>,tokens:array<int>,stamp:bigint>"
+KINDS = {c: pa.int64() for c in ("n_tokens", "n_tokens_after", "n_leaves", "n_edits", "recoded_chars")} | {
+    "built": pa.bool_(),
+    "text_after": pa.string(),
+    "tree": pa.struct([("chars", pa.list_(pa.int32())), ("tokens", pa.list_(pa.int32())), ("stamp", pa.int64())]),
+}
 
 
 class Counter(dict):
@@ -103,6 +111,14 @@ def edit(text: str, tree: Tree, start: int, end: int, insert: str, counter: Coun
         last = len(tree.chars)
     slots = last - first
     each = -(-len(pieces) // slots) if slots else 0
+    if each > 2 * LEAF or (slots > 1 and each < LEAF // 2):
+        # Kept trees see many edits: leaves that would grow long, or many that would be left short, are dealt anew.
+        part = [pieces[i : i + LEAF] for i in range(0, len(pieces), LEAF)]
+        chars = tree.chars[:first] + [sum(map(len, x)) for x in part] + tree.chars[last:]
+        tokens = tree.tokens
+        tokens[first:last] = [sum(map(counter.__getitem__, x)) for x in part]
+        tree.__init__(chars or [0], tokens or [0])
+        return new, sum(map(len, pieces))
     for s in range(slots):
         part = pieces[s * each : (s + 1) * each]
         tree.put(first + s, sum(map(len, part)), sum(map(counter.__getitem__, part)))
@@ -114,40 +130,56 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
-def shared_ranks(spark: SparkSession, path: str = DEFAULT):
-    """The vocabulary, read once on the driver; its size is that of the file, whatever the input."""
-    return spark.sparkContext.broadcast(read_ranks(path))
+def stamp(text: str, seed: int) -> int:
+    """Ties a kept tree to its text and, by seed, to the vocabulary and the pattern."""
+    return xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass"), seed) - 2**63
 
 
-def recount(docs: DataFrame, edits_col: str, vocabulary: str = DEFAULT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Counts tokens before and after edits: id, n_tokens, n_tokens_after, n_leaves, n_edits, recoded_chars, text_after.
+def recount(
+    docs: DataFrame, edits_col: str, vocabulary: str = DEFAULT, id_col: str = "doc_id", text_col: str = "text", tree_col: str | None = None
+) -> DataFrame:
+    """Counts tokens before and after edits: id, n_tokens, n_tokens_after, n_leaves, n_edits, recoded_chars, text_after, tree.
+
+    tree is the segment tree of text_after, to be kept: a struct of its leaves' characters and tokens and of a
+    stamp. Where tree_col names such a column of docs, a text starts from its tree and only what edits touch is
+    encoded; a tree that is null, or whose stamp is not that of this text, vocabulary and pattern, is built anew.
+    recoded_chars counts what edits made to be encoded, built trees left aside; built says if the tree was.
 
     edits_col is an array of structs (start, end, insert) in code points; each edit applies to the text as the
     ones before it left it. Null edits, and null structs among them, change nothing; a null insert deletes; bounds
     beyond the text are moved to it. Null texts count as empty for the counts, and stay null unless edited.
     Repeated rows and null ids each give their row; extra columns are not read; an empty table gives no rows.
     """
-    ranks = shared_ranks(docs.sparkSession, vocabulary)
-    base = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(edits_col).alias("edits"))
+    # Read once on the driver; its size is that of the file, whatever the input.
+    table = read_ranks(vocabulary)
+    ranks = docs.sparkSession.sparkContext.broadcast(table)
+    seed = xxhash.xxh3_64_intdigest(PATTERN.encode() + b"".join(b"%d %d " % (len(x), n) + x for x, n in table.items()))
+    tree = F.lit(None).cast(TREE) if tree_col is None else F.col(tree_col).cast(TREE)
+    base = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(edits_col).alias("edits"), tree.alias("tree"))
     kind = base.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = Counter(ranks.value)
         for x in sliced(batches, "text"):
-            out: dict[str, list] = {c: [] for c in ("n_tokens", "n_tokens_after", "n_leaves", "n_edits", "recoded_chars", "text_after")}
-            for text, edits in zip(x.column("text").to_pylist(), x.column("edits").to_pylist(), strict=True):
+            out: dict[str, list] = {c: [] for c in KINDS}
+            for text, edits, kept in zip(x.column("text").to_pylist(), x.column("edits").to_pylist(), x.column("tree").to_pylist(), strict=True):
                 now, recoded, done = text, 0, 0
-                tree = build(text or "", counter)
-                out["n_tokens"].append(tree.total)
+                fits = kept is not None and kept["chars"] is not None and kept["tokens"] is not None and kept["stamp"] == stamp(text or "", seed)
+                tree = Tree(kept["chars"], kept["tokens"]) if fits else build(text or "", counter)
+                before = tree.total
                 for e in edits or []:
                     if e is not None:
                         now, n = edit(now or "", tree, e["start"] or 0, e["end"] or 0, e["insert"] or "", counter)
                         recoded, done = recoded + n, done + 1
-                for c, v in (("n_tokens_after", tree.total), ("n_leaves", len(tree.chars)), ("n_edits", done), ("recoded_chars", recoded), ("text_after", now)):
+                leaves = {"chars": tree.chars, "tokens": tree.tokens, "stamp": stamp(now or "", seed)}
+                for c, v in zip(KINDS, (before, tree.total, len(tree.chars), done, recoded, not fits, now, leaves), strict=True):
                     out[c].append(v)
-            yield pa.RecordBatch.from_arrays([x.column("id"), *(pa.array(v, pa.string() if c == "text_after" else pa.int64()) for c, v in out.items())], ["id", *out])
+            yield pa.RecordBatch.from_arrays([x.column("id"), *(pa.array(v, KINDS[c]) for c, v in out.items())], ["id", *out])
 
-    done = base.mapInArrow(run, f"id {kind}, n_tokens bigint, n_tokens_after bigint, n_leaves bigint, n_edits bigint, recoded_chars bigint, text_after string")
+    done = base.mapInArrow(
+        run,
+        f"id {kind}, n_tokens bigint, n_tokens_after bigint, n_leaves bigint, n_edits bigint, recoded_chars bigint, built boolean, text_after string, tree {TREE}",
+    )
     return done.withColumnRenamed("id", id_col)
 
 
