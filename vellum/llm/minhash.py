@@ -64,6 +64,23 @@ def shingles(units: np.ndarray, n: int) -> np.ndarray:
     return mix64(out)
 
 
+def flat_shingles(units: np.ndarray, sizes: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, counts): the shingles() of consecutive runs of units, of so many units each."""
+    h = np.concatenate([units, np.zeros(n, U64)])
+    runs, by = np.zeros(len(units), U64), multipliers(n)
+    for j in range(n):
+        runs += h[j : len(runs) + j] * by[j]
+    counts = np.where(sizes > 0, np.maximum(sizes - n + 1, 1), 0)
+    at = np.repeat(np.cumsum(sizes) - sizes - (np.cumsum(counts) - counts), counts) + np.arange(int(counts.sum()))
+    out, whole = runs[at] + U64(n), np.repeat(np.minimum(sizes, n), counts)
+    short = np.flatnonzero(whole < n)
+    if len(short):
+        out[short] = whole[short].astype(U64)
+        for j in range(n - 1):
+            out[short] += np.where(j < whole[short], h[at[short] + j], U64(0)) * by[j]
+    return mix64(out), counts
+
+
 def signatures(sets: list[np.ndarray], k: int, seed: int = 1) -> np.ndarray:
     """A row of k uint32 minima for each non-empty array of 64-bit hashes."""
     counts = np.array([len(s) for s in sets])

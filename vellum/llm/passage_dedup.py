@@ -9,20 +9,38 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .minhash import U64, WordHashes, mix64, multipliers, shingles, sliced, text_components, word_hashes
-from .shared import Scratch, bitmap_of, may_contain, row_key
+from .minhash import U64, flat_shingles, mix64, multipliers, shingles, sliced, text_components
+from .shared import Scratch, bitmap_of, may_contain, release, row_key
+
+
+#: Code points that are hashed at once, about.
+STRETCH = 1 << 18
 
 
 def word_table(code: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(start, end, hash) of the words of a code point array: runs without ASCII white space."""
-    solid = ~((code == 32) | ((code >= 9) & (code <= 13)))
-    edge = np.diff(np.concatenate([[False], solid, [False]]).astype(np.int8))
-    start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    solid = (code != 32) & (code - np.uint32(9) > 4)
+    edge = np.flatnonzero(np.diff(solid, prepend=False, append=False))
+    start, end = edge[::2], edge[1::2]
     if not len(start):
         return start, end, np.empty(0, U64)
-    place = np.arange(len(code)) - np.repeat(np.concatenate([[0], start]), np.diff(np.concatenate([[0], start, [len(code)]])))
-    value = np.where(solid, mix64(code.astype(U64) + place.astype(U64) * U64(0x9E3779B97F4A7C15)), U64(0))
-    return start, end, np.add.reduceat(value, start)
+    sizes = end - start
+    begin = np.cumsum(sizes) - sizes
+    place = np.arange(begin[-1] + sizes[-1]) - np.repeat(begin, sizes)
+    value = mix64(code[solid].astype(U64) + place.astype(U64) * U64(0x9E3779B97F4A7C15))
+    return start, end, np.add.reduceat(value, begin)
+
+
+def word_tables(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, hash) of the words of texts, one after the other, places counted from the beginning of each text; and
+    which word is the first of each text, with the number of all at the end."""
+    code = np.frombuffer(" ".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+    start, end, h = word_table(code)
+    sizes = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
+    begin = np.cumsum(sizes) - sizes
+    first = np.append(np.searchsorted(start, begin), len(start))
+    behind = np.repeat(begin, np.diff(first))
+    return (start - behind).astype(np.int32), (end - behind).astype(np.int32), h, first
 
 
 def anchors(words: np.ndarray, n: int = 5, radius: int = 6) -> np.ndarray:
@@ -144,22 +162,29 @@ def repeated_passages(
             out += h[p + j] * multipliers(2 * width, 31).reshape(2, width)[:, j : j + 1]
         return mix64(out[0]).view(np.int64), (mix64(out[1]) >> U64(33)).astype(np.int32)
 
+    def units_of(h: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(of, key, chk, first, last) of the chains of equal windows of texts: of is the text, first and last are words.
+
+        Whether a window stands at p depends on its own words only, so all texts are looked at together, and
+        those windows taken that lie in one text.
+        """
+        p = anchors(h, n_words, radius) - radius
+        of = np.searchsorted(begin, p, "right") - 1
+        inside = p + width <= begin[of + 1]
+        p, of = p[inside], of[inside]
+        key, chk = keyed(h, p)
+        first, last = chains(key, chk, p, width) if len(p) else (p, p)
+        return of[first], key[first], chk[first], p[first], p[last]
+
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for x in sliced(batches, "text"):
-            of, found = [], []
-            for i, text in enumerate(x.column("text").to_pylist()):
-                start, end, h = word_table(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32))
-                p = anchors(h, n_words, radius) - radius
-                if len(p):
-                    key, chk = keyed(h, p)
-                    first, last = chains(key, chk, p, width)
-                    of.append(np.full(len(first), i))
-                    found.append((key[first], chk[first], start[p[first]].astype(np.int32), end[p[last] + width - 1].astype(np.int32), p[first].astype(np.int32)))
-            if of:
-                at = pa.array(np.concatenate(of))
-                yield pa.RecordBatch.from_arrays(
-                    [x.column("id").take(at), x.column("rk").take(at), *(pa.array(np.concatenate(c)) for c in zip(*found, strict=True))], ["id", "rk", "key", "chk", "start", "end", "pos"]
-                )
+        for x in sliced(batches, "text", STRETCH):
+            start, end, h, begin = word_tables(x.column("text").to_pylist())
+            of, key, chk, first, last = units_of(h, begin)
+            if len(of):
+                at = pa.array(of)
+                found = (key, chk, start[first], end[last + width - 1], (first - begin[of]).astype(np.int32))
+                yield pa.RecordBatch.from_arrays([x.column("id").take(at), x.column("rk").take(at), *map(pa.array, found)], ["id", "rk", "key", "chk", "start", "end", "pos"])
+        release()
 
     kinds = f"id {id_type}, rk bigint, key bigint, chk int, start int, end int, pos int"
     placed = scratch.put(base.select("id", "rk", "text").mapInArrow(windows, kinds), "windows")
@@ -187,13 +212,16 @@ def repeated_passages(
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["key", "chk", "removed", "start", "end", "before", "before_at", "after", "after_at"]
-        for x in sliced(batches, "text", 1_000_000):
+        for x in sliced(batches, "text", STRETCH):
             of, rows_ = [], []
-            for i, (text, repeated) in enumerate(zip(x.column("text").to_pylist(), x.column("told").to_pylist(), strict=True)):
-                start, end, h = word_table(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32))
-                p, start, end = anchors(h, n_words, radius) - radius, start.astype(np.int32), end.astype(np.int32)
-                first, last = chains(*keyed(h, p), p, width)
-                for w, a, b, lo, hi in reach(list(zip(p[first].tolist(), p[last].tolist(), strict=True)), len(h), width, {w["pos"]: w for w in repeated}):
+            starts, ends, hashes, begin = word_tables(x.column("text").to_pylist())
+            text_of, _, _, first, last = units_of(hashes, begin)
+            cuts = np.searchsorted(text_of, np.arange(x.num_rows + 1))
+            for i, repeated in enumerate(x.column("told").to_pylist()):
+                own, at = slice(begin[i], begin[i + 1]), slice(cuts[i], cuts[i + 1])
+                start, end, h = starts[own], ends[own], hashes[own]
+                units = list(zip((first[at] - begin[i]).tolist(), (last[at] - begin[i]).tolist(), strict=True))
+                for w, a, b, lo, hi in reach(units, len(h), width, {w["pos"]: w for w in repeated}):
                     b += width
                     of.append(i)
                     rows_.append(
@@ -203,6 +231,7 @@ def repeated_passages(
                 at = pa.array(of)
                 types = [pa.int64(), pa.int32(), pa.bool_(), pa.int32(), pa.int32(), *[pa.binary()] * 4]
                 yield pa.RecordBatch.from_arrays([x.column("id").take(at), x.column("rk").take(at), *map(pa.array, zip(*rows_, strict=True), types)], ["id", "rk", *names])
+        release()
 
     kinds = f"id {id_type}, rk bigint, key bigint, chk int, removed boolean, start int, end int, before binary, before_at binary, after binary, after_at binary"
     context = scratch.put(around.mapInArrow(contexts, kinds), "contexts")
@@ -229,15 +258,16 @@ def repeated_passages(
 
     lines = F.split(F.col("text"), "\n")
     para = base.select("id", "rk", F.posexplode(lines).alias("no", "text"))
-    trimmed = F.btrim("text", F.lit(" \t\r\x0b\x0c"))
-    floor = n_words if least_words is None else least_words
-    long_ = (trimmed != "") & (F.size(F.split(trimmed, r"[ \t\x0b\x0c\r]+")) >= floor)
+    floor = max(1, n_words if least_words is None else least_words)
+    blank, word = r"[ \t\x0b\x0c\r]", r"[^ \t\x0b\x0c\r]"
+    long_ = F.col("text").rlike(f"^{blank}*+(?:{word}++{blank}++){{{min(floor, 50) - 1}}}{word}")  # reads no further than it must
+    if floor > 50:
+        long_ &= F.size(F.split(F.btrim("text", F.lit(" \t\r\x0b\x0c")), f"{blank}+")) >= floor
     occurrences = para.where(long_).select("id", "rk", "no", F.xxhash64("text").alias("key"), "text")
-    cache = WordHashes()
 
     def shingled(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        hashes = [shingles(word_hashes(t.encode("utf-8", "surrogatepass").split(), cache), n_words) for t in texts]
-        return np.concatenate(hashes), np.array([len(h) for h in hashes])
+        _, _, h, begin = word_tables(texts)
+        return flat_shingles(h, np.diff(begin), n_words)
 
     roots = text_components(occurrences.select("key", "text"), shingled, share, bands, rows, scratch)
     # Where lines begin, only for the texts that hold one of a repeated component.
