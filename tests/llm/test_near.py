@@ -1,6 +1,7 @@
 """Near duplicates, lines and passages against brute force."""
 
 import random
+import re
 from itertools import combinations
 
 import numpy as np
@@ -10,7 +11,8 @@ from vellum.llm import minhash
 from vellum.llm.graph import components
 from vellum.llm.line_dedup import dedup_lines
 from vellum.llm.near_dedup import near_duplicates
-from vellum.llm.passage_dedup import repeated_passages
+from vellum.llm.minhash import flat_shingles, shingles
+from vellum.llm.passage_dedup import repeated_passages, word_tables
 from vellum.llm.shared import Scratch
 
 SCHEMA = "doc_id bigint, text string, key string, sig string"
@@ -140,6 +142,37 @@ def test_passages_are_covered_whole(spark):
     assert [dict(rows)[101][a:b] for a, b, removed in got[101]] == [" ".join(part)]
 
 
+def test_passages_far_inside_long_texts(spark):
+    """Places beyond 2 bytes, beside a short text; a window in many documents; white space of all kinds, beyond the BMP."""
+    rng = random.Random(29)
+    passage = words(rng, 70)
+    rows = [(1, " ".join(passage)), (2, " ".join([*words(rng, 16_000), *passage, "z1"])), (3, "\U0001f600\t \x0b" + " ".join(["y", *passage]) + "\f\r")]
+    rows += [(i, " ".join([f"a{i}", *passage, f"b{i}"])) for i in range(10, 400)]
+    texts = dict(rows)
+    assert texts[2].index(" ".join(passage)) > 1 << 16
+    whole = {i: (t.index(" ".join(passage)), t.index(" ".join(passage)) + len(" ".join(passage))) for i, t in texts.items()}
+    got = repeated_passages(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert [(r["start"], r["end"]) for r in got if r["doc_id"] == 2] == [whole[2]]
+    # the others are near copies as lines, too
+    covered = {(r["doc_id"], r["removed"]) for r in got if r["start"] <= whole[r["doc_id"]][0] and r["end"] >= whole[r["doc_id"]][1]}
+    assert covered == {(i, i > 1) for i in texts}
+
+
+def test_words_of_many_texts_as_of_each():
+    texts = ["a b  c", "", " \t", "x\u00a0y z", "\x00b c\n", "\U0001f600 " * 3 + "end"]
+    start, end, h, first = word_tables(texts)
+    for i, text in enumerate(texts):
+        own = slice(first[i], first[i + 1])
+        want = [(m.start(), m.end()) for m in re.finditer("[^ \t-\r]+", text)]
+        assert list(zip(start[own].tolist(), end[own].tolist(), strict=True)) == want
+        _, _, alone, _ = word_tables([text])
+        assert h[own].tolist() == alone.tolist()
+    sizes = np.diff(first)
+    hashes, counts = flat_shingles(h, sizes, 3)
+    each = [shingles(h[first[i] : first[i + 1]], 3) for i in range(len(texts))]
+    assert hashes.tolist() == np.concatenate(each).tolist() and counts.tolist() == [len(s) for s in each]
+
+
 def test_short_lines_are_paragraphs(spark):
     rng = random.Random(21)
     six, twelve, four = (" ".join(words(rng, n)) for n in (6, 12, 4))

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .minhash import U64, flat_shingles, mix64, multipliers, shingles, sliced, text_components
-from .shared import Scratch, bitmap_of, may_contain, release, row_key
+from .shared import Scratch, bitmap_of, may_contain, release, row_key, spread_join
 
 
 #: Code points that are hashed at once, about.
@@ -194,13 +194,13 @@ def repeated_passages(
 
         Counting needs numbers only; where the units stand is asked of the repeated ones alone.
         """
-        several = units.groupBy(*by).agg(F.min("id").alias("least_id"), F.max("id").alias("last_id")).where("least_id <> last_id")
-        several = scratch.put(several.select(*by, "least_id"), "several")
-        some = may_contain(units, F.col(by[0]), True, bitmap_of(several, by[0], 1 << 26), 1 << 26).where("bm_hit").drop("bm_hit").join(several, by)
+        several = units.groupBy(*by).agg(F.min("id").alias("least_id"), F.max("id").alias("last_id"), F.count("*").alias("n")).where("least_id <> last_id")
+        several = scratch.put(several.select(*by, "least_id", "n"), "several")
+        some = may_contain(units, F.col(by[0]), True, bitmap_of(several, by[0], 1 << 26), 1 << 26).where("bm_hit").drop("bm_hit").join(several.drop("n"), by)
         some = scratch.put(some, "repeats")
         first = some.where("id = least_id").groupBy(*by).agg(F.min(F.struct("rk", "pos")).alias("first"))
         own = (F.col("id") == F.col("least_id")) & (F.col("first.rk") == F.col("rk")) & (F.col("first.pos") == F.col("pos"))
-        return some.join(scratch.put(first, "firsts"), by).select(*units.columns, "first", (~own).alias("removed"), F.col("least_id").alias("component_id"))
+        return spread_join(some, scratch.put(first, "firsts"), by, "rk", scratch, several).select(*units.columns, "first", (~own).alias("removed"), F.col("least_id").alias("component_id"))
 
     by_window = scratch.put(spread(placed, ["key", "chk"]).distinct(), "fates")
     scratch.drop(placed)
@@ -220,6 +220,8 @@ def repeated_passages(
             for i, repeated in enumerate(x.column("told").to_pylist()):
                 own, at = slice(begin[i], begin[i + 1]), slice(cuts[i], cuts[i + 1])
                 start, end, h = starts[own], ends[own], hashes[own]
+                if end[-1] < 1 << 16:  # two bytes a place instead of four
+                    start, end = start.astype(np.uint16), end.astype(np.uint16)
                 units = list(zip((first[at] - begin[i]).tolist(), (last[at] - begin[i]).tolist(), strict=True))
                 for w, a, b, lo, hi in reach(units, len(h), width, {w["pos"]: w for w in repeated}):
                     b += width
@@ -237,6 +239,14 @@ def repeated_passages(
     context = scratch.put(around.mapInArrow(contexts, kinds), "contexts")
     scratch.drop(told)
 
+    def moved(at: list[int], places: list[bytes], hashes: list[bytes], agree: list[int]) -> list[int]:
+        """Where the last word stands that agrees, in 2 or 4 bytes a word; at, if none does."""
+        out = []
+        for here, v, h, n in zip(at, places, hashes, agree, strict=True):
+            size = 8 * len(v) // len(h) if n else 0
+            out.append(int.from_bytes(v[size * n - size : size * n], "little") if n else here)
+        return out
+
     def extended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
             if not x.num_rows:
@@ -245,14 +255,13 @@ def repeated_passages(
             left, right = common(column["before"], column["k_before"]).tolist(), common(column["after"], column["k_after"]).tolist()
             at = pa.array([i for i, (m, n) in enumerate(zip(left, right, strict=True)) if m or n], pa.int64())
             for side, removed in (("", True), ("k_", False)):
-                starts = [int.from_bytes(v[4 * n - 4 : 4 * n], "little") if n else s for v, n, s in zip(column[f"{side}before_at"], left, column[f"{side}start"], strict=True)]
-                ends = [int.from_bytes(v[4 * n - 4 : 4 * n], "little") if n else e for v, n, e in zip(column[f"{side}after_at"], right, column[f"{side}end"], strict=True)]
+                starts, ends = (moved(*(column[side + c] for c in cs), n) for cs, n in ((("start", "before_at", "before"), left), (("end", "after_at", "after"), right)))
                 out = [x.column(f"{side}id"), x.column(f"{side}rk"), pa.array(starts, pa.int32()), pa.array(ends, pa.int32()), pa.array([removed] * len(left)), x.column("k_id")]
                 yield pa.RecordBatch.from_arrays([c.take(at) for c in out], ["id", "rk", "start", "end", "removed", "component_id"])
 
     of_kept = context.where("not removed").drop("removed")
     of_kept = of_kept.select("key", "chk", *(F.col(c).alias(f"k_{c}") for c in of_kept.columns if c not in ("key", "chk")))
-    both = context.where("removed").drop("removed").join(of_kept, ["key", "chk"]).drop("key", "chk")
+    both = spread_join(context.where("removed").drop("removed"), of_kept, ["key", "chk"], "rk", scratch).drop("key", "chk")
     runs = scratch.put(both.mapInArrow(extended, f"id {id_type}, rk bigint, start int, end int, removed boolean, component_id {id_type}").distinct(), "runs")
     scratch.drop(context)
 

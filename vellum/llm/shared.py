@@ -79,21 +79,22 @@ def release() -> None:
 HOT_SHARE = 1000
 
 
-def spread_join(big: DataFrame, small: DataFrame, key: str, by: str, scratch: Scratch, counts: DataFrame | None = None) -> DataFrame:
+def spread_join(big: DataFrame, small: DataFrame, key: str | list[str], by: str, scratch: Scratch, counts: DataFrame | None = None) -> DataFrame:
     """big joined with small (one row for each key), hot keys of big being dealt out by column by to several tasks.
 
     For each hot key (more than one row of HOT_SHARE; so the broadcast table of them has less than HOT_SHARE rows,
     whatever the size) small's row is repeated, once for each HOT_SHARE-th of all rows that the key has: less
     than 2 * HOT_SHARE more rows. counts (key, n) are those of big, which is counted if they are not at hand.
     """
-    counts = big.groupBy(key).agg(F.count("*").alias("n")) if counts is None else counts
-    counts = scratch.put(counts.select(key, "n"), "counts")
+    key = [key] if isinstance(key, str) else key
+    counts = big.groupBy(*key).agg(F.count("*").alias("n")) if counts is None else counts
+    counts = scratch.put(counts.select(*key, "n"), "counts")
     floor = (counts.agg(F.sum("n")).first()[0] or 0) // HOT_SHARE + 1
-    hot = scratch.put(counts.where(F.col("n") > floor).select(key, F.ceil(F.col("n") / floor).cast("int").alias("_parts")), "hot")
+    hot = scratch.put(counts.where(F.col("n") > floor).select(*key, F.ceil(F.col("n") / floor).cast("int").alias("_parts")), "hot")
     parts = F.coalesce("_parts", F.lit(1))
     left = big.join(F.broadcast(hot), key, "left").withColumn("_part", F.pmod(F.xxhash64(by), parts).cast("int")).drop("_parts")
     right = small.join(F.broadcast(hot), key, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("_parts")
-    return left.join(right, [key, "_part"]).drop("_part")
+    return left.join(right, [*key, "_part"]).drop("_part")
 
 
 def list_files(spark: SparkSession, path: str) -> list[tuple[str, int]]:
