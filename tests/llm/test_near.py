@@ -71,6 +71,35 @@ def test_near_duplicates(spark, n, share):
             assert (r["component_id"], r["kept"]) == (want[r["doc_id"]], want[r["doc_id"]] == r["doc_id"])
 
 
+def test_what_is_alike_alone_is_moved(spark):
+    """Where nothing is small enough to be broadcast, the signatures of texts unlike all others are shuffled once."""
+    rng = random.Random(41)
+    rows = [(i, " ".join(words(rng, 30))) for i in range(2000)]
+    rows += [(5000 + i, rows[i][1] + " more") for i in range(20)] + [(None, rows[30][1] + " more"), (30, rows[30][1]), (7, rows[7][1])]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    sc = spark.sparkContext._jsc.sc()
+
+    def moved():
+        sc.listenerBus().waitUntilEmpty()
+        told = sc.statusStore().executorList(True)
+        return sum(told.apply(i).totalShuffleWrite() for i in range(told.size()))
+
+    names = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")
+    try:
+        for name in names:
+            spark.conf.set(name, "-1")
+        before = moved()
+        got = near_duplicates(df, n_words=3, share=(85, 100)).collect()
+        after = moved()
+    finally:
+        for name in names:
+            spark.conf.unset(name)
+    assert len(got) == len(rows)
+    want = {**{i: i for i in range(2000)}, **{5000 + i: i for i in range(20)}, None: 30}
+    assert {r["doc_id"]: r["component_id"] for r in got} == want
+    assert after - before < 3 * len(rows) * 125 * 4
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], "doc_id bigint, text string")
     assert near_duplicates(none).count() == dedup_lines(none).count() == repeated_passages(none).count() == 0

@@ -19,6 +19,8 @@ from .shared import Scratch, bitmap_of, may_contain, release, spread_join
 U64 = np.uint64
 #: Band rows that a task holds before it passes them on, about.
 MET = 200_000
+#: Slots of the bitmaps of buckets.
+BUCKET_BITS = 1 << 26
 #: Pairs that are compared at once, as a number of bits and of pairs.
 PAIR_BITS = 12
 PAIRS = 1 << PAIR_BITS
@@ -332,7 +334,11 @@ def near_components(
     """
     kind = dict(buckets.dtypes)["key"]
     sizes = scratch.put(buckets.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "sizes")
+    if sig is not None:  # few bands of whole texts are met twice: the others need not be moved
+        buckets = may_contain(buckets, F.col("bucket"), True, bitmap_of(sizes, "bucket", BUCKET_BITS), BUCKET_BITS).where("bm_hit").select("bucket", "key")
     members = scratch.put(buckets.join(sizes, "bucket").select("bucket", "key", "n"), "members")
+    if sig is not None:  # nor the signatures of those that no bucket joins to another
+        sig = scratch.put(may_contain(sig, F.col("key"), False, bitmap_of(members, "key")).where("bm_hit").select("key", "sig"), "signatures")
     central = members.groupBy("key").agg(F.sum("n").alias("score"))
     hubs = members.join(central, "key").groupBy("bucket").agg(F.max(F.struct("score", "key")).alias("m")).select("bucket", F.col("m.key").alias("hub"))
     star = members.join(hubs, "bucket").where("key <> hub").select(F.col("hub").alias("a"), F.col("key").alias("b")).distinct()

@@ -65,16 +65,18 @@ def near_duplicates(
         cache.clear()
         release()
 
-    rows_ = scratch.put(
+    signed = scratch.put(
         base.select("id", row_key("id", "text").alias("rk"), "text").mapInArrow(prepare, f"id {id_type}, rk bigint, n bigint, fp binary, sig binary"),
-        "rows",
+        "signed",
     )
     # One class for each distinct set; the row with the smallest id, nulls last, stands for it.
     classes = scratch.put(
-        rows_.where("fp is not null").groupBy("fp")
+        signed.where("fp is not null").groupBy("fp")
         .agg(F.min(F.struct(F.col("id").isNull(), F.col("id").alias("id"), "rk", "sig")).alias("m"))
         .select(F.col("fp").alias("key"), "m.id", "m.rk", "m.sig"), "classes",
     )
+    rows_ = scratch.put(signed.drop("sig"), "rows")
+    scratch.drop(signed)
 
     def keys_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
@@ -88,9 +90,11 @@ def near_duplicates(
         wanted = classes.select("key", "id", "rk").join(keys, "key")
         wanted = scratch.put(wanted, "wanted")
         here = base.where("text is not null").withColumn("rk", row_key("id", "text"))
-        some = may_contain(here, F.col("rk"), True, bitmap_of(wanted, "rk")).where("bm_hit").select("id", "rk", "text")
-        on = [some["rk"] == wanted["rk"], some["id"].eqNullSafe(wanted["id"])]
-        return some.join(wanted, on).select("key", "text").dropDuplicates(["key"])
+        some = may_contain(here, F.col("rk"), True, bitmap_of(wanted, "rk")).where("bm_hit")
+        # One column to join by, equal for equal nulls, too, and of one type (rk is never null): the exchange that
+        # drops repeated rows serves the join.
+        own = wanted.select("key", F.struct(F.coalesce("rk", F.lit(0)).alias("rk"), "id").alias("row"))
+        return some.select(F.struct("rk", "id").alias("row"), "text").dropDuplicates(["row"]).join(own, "row").select("key", "text")
 
     cache = WordHashes()
 
