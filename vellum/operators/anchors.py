@@ -81,14 +81,15 @@ def through_edits(anchors: DataFrame, edits: DataFrame, keys: list[str]) -> Data
     """anchors (keys, id, start, end, text) after simultaneous edits (keys, start, end, insert), untouched ones only.
 
     An anchor moves by what the edits before it gained; one that an edit overlaps, or into which text is put,
-    has another length and is dropped.
+    has another length and is dropped. The edits of a text meet each anchor as one array, so no row is made for
+    a pair, nothing is grouped by anchors, and equal anchors stay as many as they are.
     """
-    e = edits.select(*keys, F.col("start").alias("_s"), F.col("end").alias("_e"), (F.length("insert") - (F.col("end") - F.col("start"))).alias("_gain"))
-    met = anchors.join(e, keys, "left")
-    before = F.col("_e") <= F.col("start")
-    hit = (F.col("_s") < F.col("end")) & (F.col("_e") > F.col("start")) & ~before
-    out = met.groupBy(*anchors.columns).agg(F.coalesce(F.sum(F.when(before, F.col("_gain"))), F.lit(0)).alias("_by"), F.coalesce(F.bool_or(hit), F.lit(False)).alias("_hit"))
-    out = out.where("not _hit")
+    edit = F.struct(F.col("start").alias("s"), F.col("end").alias("e"), (F.length("insert") - (F.col("end") - F.col("start"))).cast("bigint").alias("gain"))
+    e = edits.groupBy(*keys).agg(F.collect_list(edit).alias("_edits"))
+    before = lambda x: x["e"] <= F.col("start")
+    hit = F.exists("_edits", lambda x: (x["s"] < F.col("end")) & (x["e"] > F.col("start")))
+    by = F.aggregate("_edits", F.lit(0).cast("bigint"), lambda n, x: n + F.when(before(x), F.coalesce(x["gain"], F.lit(0))).otherwise(0))
+    out = anchors.join(e, keys, "left").where(~F.coalesce(hit, F.lit(False))).withColumn("_by", F.coalesce(by, F.lit(0)))
     moved = {"start": (F.col("start") + F.col("_by")).cast("int"), "end": (F.col("end") + F.col("_by")).cast("int")}
     return out.select(*((moved[c].alias(c) if c in moved else F.col(c)) for c in anchors.columns))
 
