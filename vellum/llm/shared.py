@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-import ctypes
-import gc
 import tempfile
 import uuid
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.tasks import release, small_batches  # noqa: F401
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir; one of our own where that is unset and all run in one process."""
@@ -27,14 +26,6 @@ def shared_folder(spark: SparkSession) -> str:
     return spark.sparkContext._jsc.sc().getCheckpointDir().get().rstrip("/")
 
 
-def small_batches(spark: SparkSession, most: int = 4 << 20) -> None:
-    """Lowers the bytes of the session's Arrow batches, if they are more: each running task holds several of them, in the JVM and in Python."""
-    name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    now = spark.conf.get(name, None)
-    if now is None or not now.rstrip("bB").isdigit() or not 0 < int(now.rstrip("bB")) <= most:
-        spark.conf.set(name, str(most))
-
-
 class Scratch:
     """Tables written to the shared folder: they cut lineage, survive the loss of executors, and are compact."""
 
@@ -65,16 +56,6 @@ class Scratch:
         p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def release() -> None:
-    """Gives what a task's Arrow batches and arrays took back to the system: Python workers outlive their tasks."""
-    gc.collect()
-    pa.default_memory_pool().release_unused()
-    try:
-        ctypes.CDLL(None).malloc_trim(0)
-    except (AttributeError, OSError):  # only glibc has it
-        pass
-
-
 #: A key is hot that has more than one in so many rows: there are fewer hot keys than this.
 HOT_SHARE = 1000
 
